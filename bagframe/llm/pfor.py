@@ -36,7 +36,7 @@ def pack_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) ->
     usual = np.partition(grid, kth, axis=1)[:, kth] if n_blocks else low
     width = np.maximum(8, np.ceil(np.log2(usual.astype(np.float64) + 1))).astype(np.uint32)
     over = (grid.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype(np.uint32)
-    n_over = (over > 0).sum(axis=1).astype(np.uint32)
+    n_over = (over > 0).sum(axis=1, dtype=np.int64)
     starts = np.zeros(n_blocks + 1, np.int64)
     np.cumsum(width * LANES + n_over, out=starts[1:])
     body = np.zeros(starts[-1], np.uint32)
