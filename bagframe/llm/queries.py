@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .neardup import op8_near_duplicates
 from .pfor import op5_token_files
 
 QUERIES = {
+    "op8_near_duplicates": op8_near_duplicates,
     "op5_token_files": op5_token_files,
 }
 
