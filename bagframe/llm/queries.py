@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .neardup import op8_near_duplicates
+from .packing import op9_packed_sequences
 from .pfor import op5_token_files
 
 QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op5_token_files": op5_token_files,
+    "op9_packed_sequences": op9_packed_sequences,
 }
 
 ORACLE_SQL: dict[str, str] = {}
