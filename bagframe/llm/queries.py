@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .decontam import op10_decontamination
 from .neardup import op8_near_duplicates
 from .packing import op9_packed_sequences
 from .pfor import op5_token_files
+from .pii import op4_pseudonyms
+from .toxicity import op1_toxicity
 
 QUERIES = {
-    "op8_near_duplicates": op8_near_duplicates,
+    "op1_toxicity": op1_toxicity,
+    "op4_pseudonyms": op4_pseudonyms,
     "op5_token_files": op5_token_files,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_packed_sequences": op9_packed_sequences,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
