@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .decontam import op10_decontamination
+from .licenses import op3_licenses
 from .neardup import op8_near_duplicates
 from .packing import op9_packed_sequences
 from .pfor import op5_token_files
 from .pii import op4_pseudonyms
+from .secrets import op6_secrets
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_licenses": op3_licenses,
+    "op6_secrets": op6_secrets,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_token_files": op5_token_files,
     "op8_near_duplicates": op8_near_duplicates,

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .scan import NOT_ALNUM, STEPS, blocks, mix, words
 
@@ -99,7 +100,7 @@ def scored(docs: DataFrame, model, id_col="doc_id", text_col="text", threshold:
             values = [sigmoid(bias + dense[x].sum()) for x in text_features(batch.column(place))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*names, "score"])
 
-    schema = kept.schema.add("score", "double")
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
     return kept.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
