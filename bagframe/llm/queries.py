@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op10_decontamination
+from .jpeg import op2_media
 from .licenses import op3_licenses
 from .neardup import op8_near_duplicates
 from .packing import op9_packed_sequences
@@ -13,6 +14,7 @@ from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_media": op2_media,
     "op3_licenses": op3_licenses,
     "op6_secrets": op6_secrets,
     "op4_pseudonyms": op4_pseudonyms,
