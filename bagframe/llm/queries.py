@@ -10,6 +10,7 @@ from .packing import op9_packed_sequences
 from .pfor import op5_token_files
 from .pii import op4_pseudonyms
 from .secrets import op6_secrets
+from .suffix import op7_repeats
 from .toxicity import op1_toxicity
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_token_files": op5_token_files,
+    "op7_repeats": op7_repeats,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_packed_sequences": op9_packed_sequences,
     "op10_decontamination": op10_decontamination,
