@@ -117,16 +117,16 @@ def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])] + 1
 
 
-def window_keys(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """The smallest hash of the grams of each window."""
+def window_keys(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all grams, and the smallest one of each window."""
     at = np.arange(len(data) - gram + 1)
-    low = substring_hash(prefix(data), at, at + gram)
+    low = grams = substring_hash(prefix(data), at, at + gram)
     span, width = length - gram + 1, 1
     while width < span:
         step = min(width, span - width)
         low = np.minimum(low[: len(low) - step], low[step:])
         width += step
-    return low
+    return grams, low
 
 
 def _lists(values, kind):
@@ -136,22 +136,25 @@ def _lists(values, kind):
 
 def _marks(batches):
     for batch in batches:
-        starts, sizes, keys = [], [], []
+        starts, sizes, keys, times = [], [], [], []
         for _, data, offs in blocks(batch.column(1)):
             for a, b in zip(offs[:-1], offs[1:]):
                 if b - a < LENGTH:
-                    first = n = np.zeros(0, np.int32)
+                    first = n = often = np.zeros(0, np.int32)
                     key = np.zeros(0, np.int64)
                 else:
-                    low = window_keys(data[a:b])
+                    grams, low = window_keys(data[a:b])
                     new = np.append(True, low[1:] != low[:-1])
                     began = np.maximum.accumulate(np.where(new, np.arange(len(low)), 0))
                     first = np.flatnonzero((np.arange(len(low)) - began) % RUN == 0)
                     n, key = np.diff(np.append(first, len(low))), low[first].view(np.int64)
+                    # A segment with its key at two places may repeat a window by itself.
+                    often = np.array([min(2, np.count_nonzero(grams[i : i + m + LENGTH - GRAM] == low[i])) for i, m in zip(first, n)], np.int32)
                 starts.append(first)
                 sizes.append(n)
                 keys.append(key)
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(starts, np.int32), _lists(sizes, np.int32), _lists(keys, np.int64)], names=["uid", "starts", "sizes", "keys"])
+                times.append(often)
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(starts, np.int32), _lists(sizes, np.int32), _lists(keys, np.int64), _lists(times, np.int32)], names=["uid", "starts", "sizes", "keys", "often"])
 
 
 def _segments(batches):
@@ -160,8 +163,8 @@ def _segments(batches):
             data, rows = text.as_py().encode(), places.as_py()
             parts = [data[p["start"] : p["start"] + p["n"] + LENGTH - 1] for p in rows]
             digests = [hashlib.blake2b(x, digest_size=16).digest() for x in parts]
-            columns = [pa.array([uid.as_py()] * len(rows), pa.binary()), pa.array([p["start"] for p in rows], pa.int32()), pa.array([p["n"] for p in rows], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([p["key"] for p in rows], pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.binary())], names=["uid", "start", "n", "key", "seg", "bytes"])
+            columns = [pa.array([uid.as_py()] * len(rows), pa.binary()), pa.array([p["start"] for p in rows], pa.int32()), pa.array([p["n"] for p in rows], pa.int32()), pa.array([p["often"] for p in rows], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([p["key"] for p in rows], pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.binary())], names=["uid", "start", "n", "often", "key", "seg", "bytes"])
 
 
 def _ranges(segs: list[bytes], starts: list[np.ndarray]):
@@ -225,17 +228,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("uid", F.unhex(F.md5("text")))
     texts = written(rows.groupBy("uid").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts")
-    marks = written(texts.select("uid", "text").mapInArrow(_marks, "uid binary, starts array<int>, sizes array<int>, keys array<long>"), "marks")
-    keys = marks.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    places = marks.select("uid", F.explode(F.arrays_zip("starts", "sizes", "keys")).alias("p")).select("uid", F.col("p.starts").alias("start"), F.col("p.sizes").alias("n"), F.col("p.keys").alias("key"))
-    shared = places.join(keys, "key").groupBy("uid").agg(F.collect_list(F.struct("start", "n", "key")).alias("places"))
+    marks = written(texts.select("uid", "text").mapInArrow(_marks, "uid binary, starts array<int>, sizes array<int>, keys array<long>, often array<int>"), "marks")
+    places = marks.select("uid", F.explode(F.arrays_zip("starts", "sizes", "keys", "often")).alias("p")).select("uid", F.col("p.starts").alias("start"), F.col("p.sizes").alias("n"), F.col("p.keys").alias("key"), F.col("p.often").alias("often"))
+    keys = places.groupBy("key").agg(F.sum("often").alias("c")).filter("c > 1").select("key")
+    shared = places.join(keys, "key").groupBy("uid").agg(F.collect_list(F.struct("start", "n", "key", "often")).alias("places"))
     found = texts.select("uid", "text").join(shared, "uid").select("uid", "text", "places")
-    found = written(found.mapInArrow(_segments, "uid binary, start int, n int, key long, seg binary, bytes binary"), "segments")
+    found = written(found.mapInArrow(_segments, "uid binary, start int, n int, often int, key long, seg binary, bytes binary"), "segments")
 
-    merged = found.groupBy("key", "seg").agg(F.first("bytes").alias("bytes"), F.first("n").alias("n"), F.count("*").alias("times"))
+    merged = found.groupBy("key", "seg").agg(F.first("bytes").alias("bytes"), F.first("n").alias("n"), F.max("often").alias("often"), F.count("*").alias("times"))
     merged = written(merged, "merged")
     whole = merged.filter("times > 1").select("seg", F.lit(0).alias("first"), F.col("n").alias("last"))
-    kinds = merged.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    kinds = merged.groupBy("key").agg(F.sum("often").alias("c")).filter("c > 1")
     several = merged.join(kinds, "key").select("key", "seg", "bytes", "c")
     by_array = several.filter(F.col("c") <= hot).repartition("key").sortWithinPartitions("key", "seg").select("key", "seg", "bytes")
     told = by_array.mapInArrow(_shards, "seg binary, first int, last int")
