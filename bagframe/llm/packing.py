@@ -24,6 +24,8 @@ from .tokens import encoder, groups, vocabulary
 GRAIN = 8
 #: Rows that one ranking task gets, about.
 RANKED = 50_000
+#: The linear program ends when it is known to be within this share of its optimum.
+GAP = 5e-4
 #: Most columns that are priced; the linear program ends long before that, and ending early costs padding only.
 MOST_COLUMNS = 5_000
 
@@ -34,14 +36,15 @@ def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[
     use = np.flatnonzero(prices > 1e-12)
     use = use[np.argsort(sizes[use], kind="stable")]
     own, price = sizes[use], prices[use]
+    fits = np.searchsorted(own, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
-        worth[c], last[c] = worth[c - 1], -1
-        n = int(np.searchsorted(own, c, "right"))
+        best, n = worth[c - 1], fits[c]
         if n:
             value = price[:n] + worth[c - own[:n]]
-            k = int(np.argmax(value))
-            if value[k] > worth[c] + 1e-12:
-                worth[c], last[c] = value[k], use[k]
+            k = value.argmax()
+            if value[k] > best + 1e-12:
+                best, last[c] = value[k], use[k]
+        worth[c] = best
     out, c = np.zeros(len(sizes)), capacity
     while c > 0:
         if last[c] < 0:
@@ -52,20 +55,42 @@ def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[
     return float(worth[capacity]), out
 
 
+def times_vector(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """a @ x by numpy's own loops: BLAS and LAPACK threads were seen to hang in a driver that has started a JVM."""
+    return np.einsum("ij,j->i", a, x)
+
+
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan elimination with row pivots."""
+    m = len(a)
+    both = np.hstack([a, np.eye(m)])
+    for k in range(m):
+        p = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        rows = np.flatnonzero(factor)
+        both[rows] -= factor[rows, None] * both[k]
+    return both[:, m:]
+
+
 def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used; together they hold exactly the demand. sizes: distinct, from 1 to capacity."""
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1 / (capacity // sizes).astype(float))
-    amount = inverse @ demand
+    amount = times_vector(inverse, demand)
+    bound = demand @ sizes / capacity
     for turn in range(MOST_COLUMNS):
         if turn % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ demand, 0)
+            inverse = inverted(basis)
+            amount = np.maximum(times_vector(inverse, demand), 0)
         worth, column = best_pattern(sizes, inverse.sum(axis=0), capacity)
-        if worth <= 1 + 1e-7:
+        bound = max(bound, amount.sum() / worth)  # no packing needs fewer sequences
+        if amount.sum() <= bound * (1 + GAP):
             break
-        step = inverse @ column
+        step = times_vector(inverse, column)
         ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratio))
         theta = ratio[out]
@@ -79,7 +104,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[
         inverse[out] = row
     times = np.floor(amount + 1e-7).astype(np.int64)
     while True:  # rounding errors must not hold more than there is
-        left = demand - (basis @ times).round().astype(np.int64)
+        left = demand - times_vector(basis, times).round().astype(np.int64)
         short = np.flatnonzero(left < 0)
         if not len(short):
             break
