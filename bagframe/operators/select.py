@@ -70,3 +70,21 @@ def patience_counter(epochs: DataFrame, patience: int) -> DataFrame:
     low = epochs.withColumn("low", F.min("value").over(w))
     last = F.max(F.when(F.col("value") <= F.col("low"), F.col("epoch"))).over(w)
     return low.withColumn("waited", F.col("epoch") - last).withColumn("stop", F.col("waited") >= patience).drop("low")
+
+
+def early_stop_epoch(epochs: DataFrame, patience: int) -> DataFrame:
+    """(run, epoch): the first epoch whose value `patience` epochs ago exceeds all since; runs without one have no row."""
+    w = Window.partitionBy("run").orderBy("epoch")
+    since = F.max("value").over(w.rowsBetween(1 - patience, Window.currentRow))
+    marked = epochs.select("run", "epoch", (F.lag("value", patience).over(w) > since).alias("stop"))
+    return marked.filter("stop").groupBy("run").agg(F.min("epoch").alias("epoch"))
+
+
+def kfold_merge(folds: DataFrame) -> DataFrame:
+    """(metric, mean, std): over the folds of (fold, metric, value); std of the population."""
+    return folds.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
+def epoch_log(epochs: DataFrame, metrics: list[str]) -> DataFrame:
+    """Long (run, metric, value) rows as one wide row for each run."""
+    return epochs.groupBy("run").pivot("metric", metrics).agg(F.avg("value"))

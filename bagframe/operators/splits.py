@@ -39,3 +39,55 @@ def balanced_weights(slides: DataFrame) -> DataFrame:
     """Adds w = 1 / count(label); the counts are a small table."""
     counts = slides.groupBy("label").agg((F.lit(1.0) / F.count("*")).alias("w"))
     return slides.join(counts, "label")
+
+
+def map_labels(slides: DataFrame, mapping: dict[str, int], ignore: list[str]) -> DataFrame:
+    """Drops ignored labels and replaces the others by numbers; a label without one is an error."""
+    pairs = [F.lit(x) for item in mapping.items() for x in item]
+    number = F.create_map(*pairs)[F.col("label")]
+    found = F.coalesce(number, F.raise_error(F.concat(F.lit("label without a number: "), F.col("label"))).cast("int"))
+    return slides.filter(~F.col("label").isin(ignore)).withColumn("label", found)
+
+
+def select_role(slides: DataFrame, splits: DataFrame, roles: list[str]) -> DataFrame:
+    return slides.join(splits.filter(F.col("role").isin(roles)), "slide_id", "left_semi")
+
+
+def pipeline_mode(splits: DataFrame) -> DataFrame:
+    """One row: which of train, val and test have members; a mode without val and test is an error."""
+    has = {r: F.count(F.when(F.col("role") == r, 1)) > 0 for r in ("val", "test")}
+    mode = F.when(has["val"] & has["test"], "Train_Val_Test").when(has["val"], "Train_Val").when(has["test"], "Train_Test")
+    return splits.agg(F.coalesce(mode, F.raise_error(F.lit("neither val nor test has members")).cast("string")).alias("mode"))
+
+
+def leakage_check(splits: DataFrame, key: str) -> DataFrame:
+    """(a, b, shared): how many keys two roles share; pairs of roles that share none have no row."""
+    of = splits.select(key, "role").distinct()
+    both = of.withColumnRenamed("role", "a").join(of.withColumnRenamed("role", "b"), key).filter("a < b")
+    return both.groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def quota_split(slides: DataFrame, val_n: int, test_n: int, share: float = 1.0, repeats: int = 1, seed: int = 0) -> DataFrame:
+    """(repeat, slide_id, label, role): val_n and test_n random slides of each label, and of the rest the first ceil(share n) by id for training."""
+    many = slides.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    w = Window.partitionBy("repeat", "label")
+    ranked = many.withColumn("r", F.row_number().over(w.orderBy(hash_order(seed, "repeat", "slide_id"), "slide_id")))
+    role = F.when(F.col("r") <= val_n, "val").when(F.col("r") <= val_n + test_n, "test").otherwise("train")
+    by_role = Window.partitionBy("repeat", "label", "role")
+    out = ranked.withColumn("role", role).withColumn("nth", F.row_number().over(by_role.orderBy("slide_id"))).withColumn("n", F.count("*").over(by_role))
+    return out.filter((F.col("role") != "train") | (F.col("nth") <= F.ceil(F.col("n") * share))).drop("r", "nth", "n")
+
+
+def patient_split(slides: DataFrame, cases: DataFrame, val_n: int, test_n: int, seed: int = 0) -> DataFrame:
+    """(slide_id, case_id, role): cases (case_id, label) are split by quota; slides follow their case."""
+    roles = quota_split(cases.withColumnRenamed("case_id", "slide_id"), val_n, test_n, seed=seed).select(F.col("slide_id").alias("case_id"), "role")
+    return slides.select("slide_id", "case_id").join(roles, "case_id")
+
+
+def holdout_then_kfold(slides: DataFrame, test: float, k: int, seed: int = 0) -> DataFrame:
+    """(fold, slide_id, role): a share held out for every fold's test; of the rest, fold f is val and the others train."""
+    held = stratified_split(slides, {"rest": 1 - test, "test": test}, seed)
+    rest = stratified_kfold(held.filter("role = 'rest'").drop("role"), k, seed).select("slide_id", F.col("fold").cast("long").alias("own"))
+    all_ = rest.unionByName(held.filter("role = 'test'").select("slide_id", F.lit(None).cast("long").alias("own")))
+    out = all_.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
+    return out.select("fold", "slide_id", F.when(F.col("own").isNull(), "test").when(F.col("own") == F.col("fold"), "val").otherwise("train").alias("role"))

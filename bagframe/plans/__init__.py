@@ -1,5 +1,6 @@
-"""Queries over the given tables and their DuckDB equivalents."""
+"""All queries of the library outside bagframe.llm, with their SQL."""
 
+from . import further  # noqa: F401  its queries enter the catalogue
 from .catalogue import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
