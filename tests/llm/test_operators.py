@@ -46,6 +46,21 @@ def test_toxicity(spark, docs, none):
     assert toxicity.fit(none, labels)[2] == 0
 
 
+def test_toxicity_inflected(spark):
+    """A stem whose endings are new each time is learned; clean texts with other stems of the same shape stay clean."""
+    draw = random.Random(5)
+    word = lambda stem: stem + "".join(draw.choices("bcdfgh", k=6))
+    rows = []
+    for i in range(600):
+        stems = ["bomente"] * 3 * (i % 3 == 0) + draw.choices(["parlo", "correr", "lentos", "verdad"], k=8)
+        draw.shuffle(stems)
+        rows.append((i, " ".join(map(word, stems)), int(i % 3 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.filter("doc_id < 400").select("doc_id", "toxic"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scored(frame.filter("doc_id >= 400"), model).collect()}
+    assert sum(got[i] == y for i, _, y in rows if i >= 400) >= 190
+
+
 def test_media(docs, none):
     out = jpeg.media_features(jpeg.media_table(docs)).collect()
     assert len(out) == len(ROWS)
