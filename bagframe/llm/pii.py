@@ -2,7 +2,8 @@
 
 A value is cut into two halves and goes through a keyed Feistel network whose halves are numbers below two moduli, so it is permuted within its format:
 equal values get equal pseudonyms in every document, different ones different. Domains:
-  number  13 to 19 digits: all but the last are permuted; the last keeps the Luhn residue, so valid card numbers stay valid
+  number  13 to 19 digits: all but the last are permuted; the last keeps the Luhn sum 0; digits with another sum
+          are no card number and stay, but for card numbers, dates, ssn and phone numbers within them
   phone   the last ten digits          ip    four octets of up to 255
   ssn     valid areas, groups, serials date  yyyy-mm-dd within 73,000 days (250 x 292) from 1900-01-01
 Mail addresses are no numbers; they become a keyed digest. Values that are not valid in their format stay.
@@ -61,10 +62,34 @@ def refilled(m: str, digits: str) -> str:
     return _let("q", digits, f"aggregate(split({m}, ''), named_struct('out', '', 'i', 0), (s, c) -> {step}, s -> s.out)")
 
 
-def pseudonym(m: str, key: str) -> str:
-    """SQL of the pseudonym of a matched string."""
+def card(w: str, key: str) -> str:
+    """SQL of w with its 13 to 19 digits permuted and the Luhn sum 0."""
+    body = permuted_digits("left(d, length(d) - 1)", key, "number")
+    last = f"cast(pmod({luhn('d')} - {luhn('concat(h, 0)')}, 10) as string)"
+    return refilled(w, _let("d", _digits(w), _let("h", body, f"concat(h, {last})")))
+
+
+def _digits(w: str) -> str:
+    return f"regexp_replace({w}, '[^0-9]', '')"
+
+
+def within(m: str, key: str) -> str:
+    """SQL of a run of digits that is no card number as a whole: card numbers of whole groups (1 to 5 of three digits or more, the last of any length) in
+    it are replaced, or else dates, ssn and phone numbers in it."""
+    shapes = [r"(?<!\d)(?=(\d{13,19})(?!\d))"] + [rf"(?<!\d)(?=(\d{{3,}}(?:[ -]\d{{3,}}){{{k}}}[ -]\d+)(?!\d))" for k in range(4)]
+    tries = ", ".join(f"regexp_extract_all({m}, {_sql(x)}, 1)" for x in shapes)
+    valid = f"filter(concat({tries}), w -> length({_digits('w')}) between 13 and 19 and {luhn(_digits('w'))} = 0)"
+    cards = f"aggregate(v, {m}, (t, w) -> replace(t, w, {card('w', key)}))"
+    kinds = ("date", "ssn", "phone")
+    any_of = _sql("|".join(PATTERNS[k] for k in kinds))
+    parts = f"transform(regexp_extract_all({m}, {any_of}, 0), w -> {pseudonym('w', key, kinds)})"
+    others = f"array_join(zip_with(split({m}, {any_of}, -1), {parts}, (x, y) -> concat(x, coalesce(y, ''))), '')"
+    return _let("v", valid, f"if(size(v) > 0, {cards}, {others})")
+
+
+def pseudonym(m: str, key: str, kinds=tuple(PATTERNS)) -> str:
+    """SQL of the pseudonym of a string matched by one of the patterns of these kinds."""
     full = {k: f"{m} rlike {_sql('^(?:' + v + ')$')}" for k, v in PATTERNS.items()}
-    d = f"regexp_replace({m}, '[^0-9]', '')"
     email = f"concat('u', substring(sha2(concat({_sql(key)}, ':mail:', lower({m})), 256), 1, 16), '@mail.invalid')"
     o = "cast(o[{}] as bigint)".format
     ip_out = "concat_ws('.', p.a div 256, p.a % 256, p.b div 256, p.b % 256)"
@@ -76,12 +101,10 @@ def pseudonym(m: str, key: str) -> str:
     valid = f"{area} between 1 and 899 and {area} != 666 and substring({m}, 5, 2) != '00' and right({m}, 4) != '0000'"
     ssn_out = "concat(lpad(p.a + 1 + if(p.a + 1 >= 666, 1, 0), 3, '0'), '-', lpad(p.b div 9999 + 1, 2, '0'), '-', lpad(p.b % 9999 + 1, 4, '0'))"
     ssn = f"if({valid}, {_let('p', feistel(f'{area} - 1 - if({area} > 666, 1, 0)', rest, '898', '989901', key, 'ssn'), ssn_out)}, {m})"
-    phone = refilled(m, _let("d", d, f"concat(left(d, length(d) - 10), {permuted_digits('right(d, 10)', key, 'phone')})"))
-    body = permuted_digits("left(d, length(d) - 1)", key, "number")
-    last = f"cast(pmod({luhn('d')} - {luhn('concat(h, 0)')}, 10) as string)"
-    number = refilled(m, _let("d", d, _let("h", body, f"concat(h, {last})")))
+    phone = refilled(m, _let("d", _digits(m), f"concat(left(d, length(d) - 10), {permuted_digits('right(d, 10)', key, 'phone')})"))
+    number = f"if({luhn(_digits(m))} = 0, {card(m, key)}, {within(m, key)})" if "number" in kinds else m
     cases = {"email": email, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "number": number}
-    return "case " + " ".join(f"when {full[k]} then {cases[k]}" for k in PATTERNS) + f" else {m} end"
+    return "case " + " ".join(f"when {full[k]} then {cases[k]}" for k in kinds) + f" else {m} end"
 
 
 def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = "bagframe") -> DataFrame:

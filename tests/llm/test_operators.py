@@ -101,6 +101,20 @@ def test_pii(spark, docs, none):
     assert pii.pseudonymised(dates).select("text").distinct().count() == 73000  # a permutation
 
 
+def test_pii_invalid_numbers(spark):
+    """Numbers that fail Luhn stay; a valid card, or a date, next to other numbers is still replaced."""
+    stay = ["4111 1111 1111 1112", "1700000000123", "12 7 33 4 5 18 22 9 16 3", "x 4111-1111-1111-1113 y", "1" * 25]
+    assert all(luhn(re.sub(r"\D", "", t)) for t in stay)
+    swap = ["4111 1111 1111 1111", "4111 1111 1111 1111 123", "12 4111111111111111", "12 2021-02-28 17 5559"]
+    rows = list(enumerate(stay + swap))
+    out = [r["text"] for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out[: len(stay)] == stay
+    card, both, tail, day = out[len(stay) :]
+    assert card != swap[0] and luhn(card.replace(" ", "")) == 0
+    assert both == card + " 123" and re.fullmatch(r"12 \d{16}", tail) and tail[3:] == card.replace(" ", "")
+    assert re.fullmatch(r"12 \d{4}-\d{2}-\d{2} 17 5559", day) and "2021-02-28" not in day
+
+
 def test_token_files(docs, none):
     files = pfor.token_files(docs)
     rows = sorted(pfor.token_rows(files).collect(), key=lambda r: r["start"])
