@@ -21,14 +21,19 @@ def parts(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts part by part; parts seen before are not encoded again."""
+    """Encodes texts part by part; parts seen before are not encoded again. The ids are those of encode(text, add_special_tokens=False): the literals of
+    the file's added tokens (<|endoftext|>) count as these tokens."""
 
     def __init__(self, path: str, size: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.contents = sorted((a.content for a in added), key=len, reverse=True)
+        self.literals = re.compile("(" + "|".join(map(re.escape, self.contents)) + ")")
+        #: Tokens with rules on what stands around them: texts that hold one are encoded whole.
+        self.whole = any(a.lstrip or a.rstrip or a.single_word for a in added)
         self.size = size
         self.known: dict[str, bytes] = {"": b""}
 
@@ -40,11 +45,19 @@ class Encoder:
             for part, coded in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
                 self.known[part] = np.array(coded.ids, "<u4").tobytes()
 
+    def split(self, text: str) -> list[str]:
+        """Literals of added tokens, and the parts between them."""
+        if not any(x in text for x in self.contents):
+            return parts(text)
+        if self.whole:
+            return [text]
+        return [p for i, x in enumerate(self.literals.split(text)) for p in ([x] if i % 2 else parts(x))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         if len(self.known) > self.size:
             self.known = {"": b""}
-        split = [parts(t or "") for t in texts]
+        split = [self.split(t or "") for t in texts]
         new: set[str] = set()
         for x in split:
             new.update(x)

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from bagframe.llm import decontam, jpeg, licenses, neardup, packing, pfor, pii, secrets, suffix, toxicity
+from bagframe.llm import decontam, jpeg, licenses, neardup, packing, pfor, pii, secrets, suffix, tokens, toxicity
 
 LONG = " ".join(f"w{i * 7919 % 1009}" for i in range(900))
 ITEM = " ".join(f"item{i}" for i in range(30))
@@ -127,6 +127,23 @@ def test_token_files(docs, none):
     assert keys == [1, None] and counts.tolist() == [400, 600] and (back == ids).all()
 
 
+def test_token_ids_of_literals(spark):
+    """Ids are those of one plain encode() of the whole text, also where it holds the literal of an added token; in op5's files and op9's counts too."""
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary()
+    plain = Tokenizer.from_file(path)
+    e = "<|endoftext|>"
+    texts = [f"a {e} b", e, f"{e}{e} x", f"a\u00a0\u2003{e}\n\n  b \t{e} ", f"x{e}y  {e[:-1]} > <|endo text|>", f"\0 {e}\r\n\x1f é\u3000", f"  {e}  ", "plain  text\n\n", ""]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.Encoder(path).encode(texts)] == want
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pfor.token_rows(pfor.token_files(frame)).collect()
+    assert {r["id"]: r["n_tokens"] for r in rows} == {i: len(x) + 1 for i, x in enumerate(want)}  # and the end id
+    pieces = packing.packed(frame, size=256).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in pieces if r["start"] == 0} == {i: len(x) + 1 for i, x in enumerate(want)}
+
+
 def test_secrets(docs, none):
     assert frozenset({"aki"}) in secrets.trigram_query("AKIA[A-Z0-9]+") and not secrets.trigram_query("[0-9a-f]+")
     rules = {k: (re.compile(x, re.A), g, n) for k, x, g, n in secrets.RULES}
