@@ -57,9 +57,17 @@ def two_level_pool(inst: DataFrame, size: int = 512) -> DataFrame:
     return pool(pool(inst.withColumn("chunk", F.floor(F.col("idx") / size)), "bag_id", "chunk"), "bag_id")
 
 
-def zscore(inst: DataFrame, col: str = "score") -> DataFrame:
-    """Adds z: standardised within the bag by the population deviation + 1e-8."""
-    return inst.withColumn("z", (F.col(col) - F.avg(col).over(_bag())) / (F.stddev_pop(col).over(_bag()) + 1e-8))
+def zscore(inst: DataFrame, col: str = "score", by: tuple = ("bag_id",)) -> DataFrame:
+    """Adds z: standardised within the bag by the population deviation + 1e-8; exactly 0 where all its values are equal."""
+    w, c = Window.partitionBy(*by), F.col(col)
+    scaled = (c - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-8)
+    return inst.withColumn("z", F.when(F.min(c).over(w) == F.max(c).over(w), c * 0).otherwise(scaled))
+
+
+def zscore_feat(inst: DataFrame) -> DataFrame:
+    """(bag_id, idx, pos, v, z): each position of feat standardised within the bag."""
+    rows = inst.select("bag_id", "idx", F.posexplode("feat").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+    return zscore(rows, "v", ("bag_id", "pos"))
 
 
 def global_mix(inst: DataFrame, dim: int) -> DataFrame:

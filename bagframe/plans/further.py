@@ -202,3 +202,18 @@ def stream_class_accuracy(spark, sf) -> DataFrame:
 def stream_weighted_mean(spark, sf) -> DataFrame:
     rows = T.table(spark, sf, "events").select("event_type", "value", (F.col("user_id") % 7 + 1).alias("n"))
     return rounded(running.weighted_mean(rows, "event_type"), "mean")
+
+
+def zscore_sql(v: str) -> str:
+    return f"round(CASE WHEN min({v}) OVER w = max({v}) OVER w THEN 0 ELSE ({v} - avg({v}) OVER w) / (stddev_pop({v}) OVER w + 1e-8) END, 4) AS z"
+
+
+@query(f"WITH {LINES} SELECT bag_id, idx, {zscore_sql('score')} FROM sc WINDOW w AS (PARTITION BY bag_id)")
+def zscore_scores(spark, sf) -> DataFrame:
+    """zscore_features of all bags, those of equal scores too."""
+    return pooling.zscore(T.scores(spark, sf)).select("bag_id", "idx", F.round("z", 4).alias("z"))
+
+
+@query(f"WITH {INST}, {POS} SELECT bag_id, idx, CAST(pos AS INT) AS pos, {zscore_sql('v')} FROM pos WINDOW w AS (PARTITION BY bag_id, pos)")
+def zscore_positions(spark, sf) -> DataFrame:
+    return pooling.zscore_feat(T.vectors(spark, sf)).select("bag_id", "idx", "pos", F.round("z", 4).alias("z"))
