@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rand import hash_order
+from ..functions.rand import hash_order, hash_uniform
 from ..functions.vectors import vec_l2
 
 
@@ -16,9 +16,20 @@ def knn_graph(inst: DataFrame, k: int = 5) -> DataFrame:
     return pairs.withColumn("r", r).filter(F.col("r") <= k).drop("r")
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Edges and their reverse ones; duplicates are kept."""
+    return edges.unionAll(edges.select(*[F.col({"src": "dst", "dst": "src"}.get(c, c)) for c in edges.columns]))
+
+
 def pair_bags(bags: DataFrame, seed: int = 0) -> DataFrame:
     """A random partner for each bag (a permutation). Bag ids only are ordered as a whole."""
     ids = bags.select("bag_id").distinct()
     own = ids.withColumn("r", F.row_number().over(Window.orderBy("bag_id")))
     other = ids.select(F.col("bag_id").alias("partner"), F.row_number().over(Window.orderBy(hash_order(seed, "bag_id"), "bag_id")).alias("r"))
     return own.join(other, "r").drop("r")
+
+
+def chosen_pairs(bags: DataFrame, prob: float = 0.5, seed: int = 0) -> DataFrame:
+    """pair_bags with `mixed`: true with probability prob, by a draw for each bag; never for a bag that is its own partner."""
+    drawn = hash_uniform(seed + 1, "bag_id") < prob
+    return pair_bags(bags, seed).withColumn("mixed", drawn & (F.col("bag_id") != F.col("partner")))

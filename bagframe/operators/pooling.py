@@ -92,3 +92,8 @@ def patient_label(slides: DataFrame, how: str = "majority") -> DataFrame:
 def aggregate_array(df: DataFrame, col: str) -> DataFrame:
     c = F.col(col)
     return df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.max(c).alias("max"), F.min(c).alias("min"), F.sum(c).alias("sum"))
+
+
+def aggregate_array_median(df: DataFrame, col: str) -> DataFrame:
+    """aggregate_array with the exact median."""
+    return aggregate_array(df, col).crossJoin(df.agg(F.median(col).alias("median")))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_order
 from ..operators import bags, graphs, mixing, pooling, select, splits
 from ..sources import tables as T
 from ..streaming import running
-from .catalogue import DIM, EPOCHS, INST, LINES, POS, RATIOS, ROLES, SLIDES, query, rounded
+from .catalogue import DIM, EPOCHS, INST, LINES, ORACLE_SQL, POS, RATIOS, ROLES, SLIDES, query, rounded
 
 JS = [1, 5, 10]
 EVENTS = ["click", "error", "purchase", "signup", "view"]
@@ -217,3 +217,32 @@ def zscore_scores(spark, sf) -> DataFrame:
 @query(f"WITH {INST}, {POS} SELECT bag_id, idx, CAST(pos AS INT) AS pos, {zscore_sql('v')} FROM pos WINDOW w AS (PARTITION BY bag_id, pos)")
 def zscore_positions(spark, sf) -> DataFrame:
     return pooling.zscore_feat(T.vectors(spark, sf)).select("bag_id", "idx", "pos", F.round("z", 4).alias("z"))
+
+
+@query(f"WITH e AS ({ORACLE_SQL['knn_graph']}) SELECT bag_id, src, dst FROM e UNION ALL SELECT bag_id, dst, src FROM e")
+def knn_graph_both(spark, sf) -> DataFrame:
+    return graphs.both_ways(graphs.knn_graph(T.vectors(spark, sf), 5)).select("bag_id", "src", "dst")
+
+
+ALL_JS = [1, 5, 10, 50, 100]
+
+
+@query(f"""WITH {INST}, {POS}, r AS (SELECT bag_id, pos, v, row_number() OVER (PARTITION BY bag_id, pos ORDER BY v DESC) AS r FROM pos),
+ m AS (SELECT bag_id, j, pos, avg(v) AS value FROM r JOIN (SELECT UNNEST({ALL_JS}) AS j) ON r <= j GROUP BY bag_id, j, pos)
+ SELECT bag_id, CAST(j AS INT) AS j, CAST(pos AS INT) AS pos, round(value, 6) AS value, row_number() OVER (PARTITION BY bag_id, j ORDER BY round(value, 9) DESC, pos) = 1 AS best FROM m""")
+def topj_pool_all(spark, sf) -> DataFrame:
+    """All elements of feat as logits, all j, and the class of the highest mean (the first of equal ones)."""
+    r = F.row_number().over(Window.partitionBy("bag_id", "j").orderBy(F.desc(F.round("value", 9)), "pos"))
+    return rounded(bags.topj_pool(T.vectors(spark, sf), ALL_JS, DIM).withColumn("best", r == 1), "value")
+
+
+@query(f"""WITH {EPOCHS} SELECT round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, max(value) AS max, min(value) AS min, round(sum(value), 2) AS sum,
+ round(median(value), 6) AS median FROM ep""")
+def aggregate_array_median(spark, sf) -> DataFrame:
+    return rounded(pooling.aggregate_array_median(T.epochs(spark, sf), "value"), "mean", "std", "median").withColumn("sum", F.round("sum", 2))
+
+
+@query(f"""WITH {SLIDES}, b AS (SELECT DISTINCT case_id AS bag_id FROM sl), o AS (SELECT bag_id, row_number() OVER (ORDER BY bag_id) AS r FROM b), h AS (SELECT bag_id AS partner, row_number() OVER (ORDER BY md5('3:' || bag_id), bag_id) AS r FROM b)
+ SELECT bag_id, partner, {uniform(4, "bag_id")} < 0.5 AND bag_id != partner AS mixed FROM o JOIN h USING (r)""")
+def chosen_pairs(spark, sf) -> DataFrame:
+    return graphs.chosen_pairs(T.slides(spark, sf).selectExpr("case_id as bag_id"), 0.5, 3)
