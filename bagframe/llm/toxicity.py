@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 
 
 def scored(docs: DataFrame, model, id_col="doc_id", text_col="text", threshold: float = 0.3) -> DataFrame:
-    """docs with score (0 to 1) and predicted (score >= threshold). Null and empty texts have the bias's score; other columns stay as they are."""
+    """docs with score (0 to 1) and predicted (score >= threshold; 0 by a model that had no row to learn from). Null and empty texts have the bias's score; other columns stay as they are."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
@@ -133,7 +133,8 @@ def scored(docs: DataFrame, model, id_col="doc_id", text_col="text", threshold:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*names, "score"])
 
     schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
-    return kept.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    learned = len(model[0]) > 0 or model[2] != 0
+    return kept.mapInArrow(score, schema).withColumn("predicted", ((F.col("score") >= threshold) & F.lit(learned)).cast("int"))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -61,6 +61,16 @@ def test_toxicity_inflected(spark):
     assert sum(got[i] == y for i, _, y in rows if i >= 400) >= 190
 
 
+def test_toxicity_without_labels(spark, docs, tmp_path):
+    """Nothing to learn from: no document is dropped."""
+    import corpus_pipeline
+
+    frame = docs.selectExpr("doc_id", "text", "'en' as lang", "'x' as source", "length(text) as n_chars")
+    for i, labels in enumerate(([], [(0, None), (5, None)], [(10**9, 1)])):
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{i}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, frame, f"{tmp_path}/{i}").count() == len(ROWS)
+
+
 def test_media(docs, none):
     out = jpeg.media_features(jpeg.media_table(docs)).collect()
     assert len(out) == len(ROWS)
