@@ -9,6 +9,9 @@ from functools import lru_cache
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _pairs = re.compile(f"[{WHITE}][{WHITE}]|\0")
 _parts = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_white = re.compile(f"[{WHITE}]")
+#: White space by which a part can begin.
+OPENERS = frozenset(" \n\t\r")
 #: Most parts whose ids a worker remembers (about 250 bytes each).
 CACHE = 1_000_000
 
@@ -26,6 +29,7 @@ class Encoder:
 
     def __init__(self, path: str, size: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -34,15 +38,36 @@ class Encoder:
         self.literals = re.compile("(" + "|".join(map(re.escape, self.contents)) + ")")
         #: Tokens with rules on what stands around them: texts that hold one are encoded whole.
         self.whole = any(a.lstrip or a.rstrip or a.single_word for a in added)
+        #: Bytes of each token: byte-level tokens have one character for each byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)
         self.size = size
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, new: list[str]) -> None:
+        """Encodes parts. Those that begin with white space and end without it are encoded many at a time, one after another; the bytes of each token
+        tell where a part's ids end."""
         import numpy as np
 
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for part, coded in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
+        chained = [x for x in new if x[0] in OPENERS and not _white.match(x[-1]) and not any(c in x for c in self.contents)]
+        apart = list(set(new).difference(chained))
+        for at in range(0, len(chained), 500):
+            some = chained[at : at + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            reached, wanted = np.cumsum(self.lengths[ids]), np.cumsum([len(x.encode()) for x in some])
+            last = np.searchsorted(reached, wanted)
+            if reached[-1] != wanted[-1] or (reached[last] != wanted).any():  # not a byte-level vocabulary
+                apart += some
+                continue
+            blob, before = ids.tobytes(), 0
+            for part, end in zip(some, (4 * (last + 1)).tolist()):
+                self.known[part] = blob[before:end]
+                before = end
+        for at in range(0, len(apart), 20_000):
+            some = apart[at : at + 20_000]
+            for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.known[part] = np.array(coded.ids, "<u4").tobytes()
 
     def split(self, text: str) -> list[str]:
