@@ -3,7 +3,8 @@
 Every window of LENGTH bytes is dealt to the smallest hash of its GRAM-byte strings, so equal windows get the same key whatever stands around them.
 Runs of neighbouring windows of one key form a segment. Keys with one segment in the whole corpus cannot repeat and are dropped before any text moves;
 equal segments are merged. Shards of whole keys then get a suffix array and its permuted longest common prefixes, which tell each window's repeats.
-Keys of more than HOT different segments, which could outgrow a task, are told by counts of their windows' digests instead.
+The segments of a key that has more than HOT different ones are cut where the distance from a window to its string passes multiples of a width (WIDTHS),
+which gives finer keys: what stands inside a passage common to many texts becomes equal there and is merged, so only what straddles its ends goes on.
 """
 
 from __future__ import annotations
@@ -15,100 +16,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import blocks, prefix, substring_hash
+from .scan import blocks, mix, prefix, substring_hash
 from .store import written
 
 LENGTH, GRAM = 400, 200
 #: Most windows of a segment; longer runs (of periodic text) are several segments of one key.
 RUN = 400
 #: Bytes of a shard, about, and most segments of a key that share one.
-SHARD, HOT = 1 << 16, 2_000
-
-
-def induce(s: list[int], small: list[bool], lms: list[int], heads: list[int], tails: list[int]) -> list[int]:
-    """The suffix array that follows from the order of the leftmost-smaller suffixes."""
-    sa, at = [-1] * len(s), tails[:]
-    for i in reversed(lms):
-        at[s[i]] -= 1
-        sa[at[s[i]]] = i
-    at = heads[:]
-    for j in sa:  # grows ahead of the loop
-        if j > 0 and not small[j - 1]:
-            c = s[j - 1]
-            sa[at[c]] = j - 1
-            at[c] += 1
-    at = tails[:]
-    for x in range(len(s) - 1, -1, -1):
-        j = sa[x]
-        if j > 0 and small[j - 1]:
-            c = s[j - 1]
-            at[c] -= 1
-            sa[at[c]] = j - 1
+SHARD, HOT = 1 << 20, 4_000
+#: Windows of the segments of finer keys; single windows are either merged or told apart.
+WIDTHS = (32, 4, 1)
+
+
+def settled(names: np.ndarray, step: int = 1) -> np.ndarray:
+    """The order of the suffixes of a string of names: names of equal pairs, `step` places apart, get one name, recursively, until all differ."""
+    n = len(names)
+    if int(names.max()) + 1 == n:
+        return np.argsort(names)
+    second = np.zeros(n, np.int64)
+    second[: max(0, n - step)] = names[step:] + 1
+    return settled(np.unique(names * (n + 1) + second, return_inverse=True)[1], 2 * step)
+
+
+def _types(s: np.ndarray) -> np.ndarray:
+    """Whether each suffix is smaller than the next; the last one is."""
+    differ = np.flatnonzero(s[1:] != s[:-1])
+    next_one = differ[np.minimum(np.searchsorted(differ, np.arange(len(s) - 1)), len(differ) - 1)]
+    return np.append(s[next_one] < s[next_one + 1], True)
+
+
+def induced(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int, single: int) -> np.ndarray:
+    """The suffix array that follows from the order `lms` of the leftmost-smaller suffixes, bucket by bucket, each in a few steps over arrays.
+
+    Numbers below `single` stand once in s, after greater ones only, and the last one is 0.
+    """
+    counts = np.bincount(s, minlength=size)
+    ends = np.cumsum(counts)
+    heads = ends - counts
+    sa = np.full(len(s), -1, np.int64)
+    own = s[lms]
+    cuts = np.searchsorted(own, np.arange(size + 1))  # leftmost-smaller suffixes come in order, so by bucket
+    to = heads.copy()
+
+    def put(j, wanted, step):
+        """Places the predecessors of wanted type of suffixes j, in this order; returns those that fall into each place."""
+        p = j[j > 0] - 1
+        p = p[small[p] == wanted]
+        if len(p):
+            c = s[p]
+            order = np.argsort(c, kind="stable")
+            p, c = p[order], c[order]
+            nth = np.arange(len(c)) - np.searchsorted(c, c)
+            sa[to[c] + nth if step > 0 else to[c] - 1 - nth] = p
+            to[:] += step * np.bincount(c, minlength=size)
+
+    put(lms[: cuts[single]], False, 1)
+    for c in range(single, size):
+        at = heads[c]
+        while at < to[c]:
+            at, j = to[c], sa[at : to[c]]
+            put(j, False, 1)
+        put(lms[cuts[c] : cuts[c + 1]], False, 1)
+    low = to.copy()
+    to[:] = ends
+    sa[0], to[0] = len(s) - 1, 0
+    for c in range(size - 1, single - 1, -1):
+        at = ends[c]
+        while at > to[c]:
+            at, j = to[c], sa[to[c] : at][::-1]
+            put(j, True, -1)
+        put(sa[heads[c] : low[c]][::-1], True, -1)
     return sa
 
 
-def suffix_array(s: list[int], size: int) -> list[int]:
-    """Suffix array of s, whose last number is its only 0, over numbers below size."""
-    n = len(s)
-    if n == 1:
-        return [0]
-    small = [False] * n
-    small[-1] = True
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    tails = np.cumsum(np.bincount(s, minlength=size)).tolist()
-    heads = [0, *tails[:-1]]
-    sa = induce(s, small, lms, heads, tails)
-    # Equal leftmost-smaller substrings get one name; their order is that of the first pass.
-    end = dict(zip(lms, [i + 1 for i in lms[1:]] + [n]))
-    names, name, before = {}, -1, None
-    for i in sa:
-        if i in end:
-            word = s[i : end[i]]
-            if word != before:
-                name, before = name + 1, word
-            names[i] = name
-    if name + 1 == len(lms):
-        order = [i for i in sa if i in end]
-    else:
-        order = [lms[k] for k in suffix_array([names[i] for i in lms], name + 1)]
-    return induce(s, small, order, heads, tails)
-
-
-def permuted_lcp(s: list[int], sa: list[int]) -> tuple[list[int], list[int]]:
-    """For each place, its suffix's predecessor in the array and their common prefix length (0 for the first)."""
-    before = [0] * len(s)
-    for a, b in zip(sa, sa[1:]):
-        before[b] = a
-    out, k = [0] * len(s), 0
-    for i in range(len(s)):
-        j = before[i]
-        if i == sa[0]:
-            k = 0
-            continue
-        while s[i + k] == s[j + k]:
-            k += 1
-        out[i] = k
-        k = max(0, k - 1)
+def shard_array(s: np.ndarray, size: int, single: int) -> np.ndarray:
+    """Suffix array of a shard: s ends in its only 0, numbers below `single` stand once and after greater ones."""
+    small = _types(s)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    first = lms[np.argsort(s[lms], kind="stable")]
+    sa = induced(s, small, first, size, single)
+    is_lms = np.zeros(len(s), bool)
+    is_lms[lms] = True
+    order = sa[is_lms[sa]]
+    # Equal leftmost-smaller substrings get one name, in the order of the first pass.
+    stop = np.zeros(len(s), np.int64)
+    stop[lms] = np.append(lms[1:] + 1, len(s))
+    length = stop[order] - order
+    same = np.append(False, length[1:] == length[:-1])
+    pair = np.flatnonzero(same)
+    n = length[pair]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    differs = s[np.repeat(order[pair], n) + inside] != s[np.repeat(order[pair - 1], n) + inside]
+    same[pair] = np.bincount(np.repeat(np.arange(len(pair)), n), differs, len(pair)) == 0
+    name = np.cumsum(~same) - 1
+    if name[-1] + 1 < len(lms):
+        named = np.zeros(len(s), np.int64)
+        named[order] = name
+        order = lms[settled(named[lms])]
+    return induced(s, small, order, size, single)
+
+
+def permuted_lcp(s: np.ndarray, sa: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the text, its suffix's predecessor in the array and whether their common prefix has `length` numbers or more, by hashes."""
+    before = np.full(len(s), -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    at = np.flatnonzero((before >= 0) & (np.maximum(before, np.arange(len(s))) + length <= len(s)))
+    pre = prefix(s)
+    out = np.zeros(len(s), bool)
+    out[at] = substring_hash(pre, at, at + length) == substring_hash(pre, before[at], before[at] + length)
     return before, out
 
 
 def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each segment, where a string of `length` bytes starts that also starts elsewhere in the segments."""
     m = len(segments)
-    parts, offs = [], [0]
-    for k, seg in enumerate(segments):
-        parts.append(np.frombuffer(seg, np.uint8).astype(np.int64) + m + 1)
-        parts.append(np.array([k + 1]))
-        offs.append(offs[-1] + len(seg) + 1)
-    whole = np.concatenate([*parts, [0]])
-    values, s = np.unique(whole, return_inverse=True)
-    s = s.tolist()
-    before, lcp = permuted_lcp(s, suffix_array(s, len(values)))
-    hit = np.array(lcp) >= length
-    hit[np.array(before)[hit]] = True
-    return [np.flatnonzero(hit[a : b - 1]) for a, b in zip(offs[:-1], offs[1:])]
+    sizes = np.array([len(x) + 1 for x in segments])
+    ends = np.cumsum(sizes)
+    s = np.empty(int(ends[-1]), np.int64)
+    is_end = np.zeros(len(s), bool)
+    is_end[ends - 1] = True
+    s[is_end] = np.arange(m)[::-1]  # different ends, the last one the smallest
+    s[~is_end] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64) + m
+    values, dense = np.unique(s[~is_end], return_inverse=True)
+    s[~is_end] = dense + m
+    before, hit = permuted_lcp(s, shard_array(s, m + len(values), m), length)
+    hit[before[hit]] = True
+    return [np.flatnonzero(hit[a : b - 1]) for a, b in zip(ends - sizes, ends)]
 
 
 def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,15 +195,15 @@ def _segments(batches):
         for uid, text, places in zip(batch.column(0), batch.column(1), batch.column(2)):
             data, rows = text.as_py().encode(), places.as_py()
             parts = [data[p["start"] : p["start"] + p["n"] + LENGTH - 1] for p in rows]
-            digests = [hashlib.blake2b(x, digest_size=16).digest() for x in parts]
+            digests = [hashlib.blake2b(x, digest_size=32).digest() for x in parts]
             columns = [pa.array([uid.as_py()] * len(rows), pa.binary()), pa.array([p["start"] for p in rows], pa.int32()), pa.array([p["n"] for p in rows], pa.int32()), pa.array([p["often"] for p in rows], pa.int32())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([p["key"] for p in rows], pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.binary())], names=["uid", "start", "n", "often", "key", "seg", "bytes"])
 
 
 def _ranges(segs: list[bytes], starts: list[np.ndarray]):
-    rows = [(seg, int(a), int(b)) for seg, x in zip(segs, starts) if len(x) for a, b in zip(*runs(x))]
-    columns = list(zip(*rows)) or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["seg", "first", "last"])
+    rows = [(seg, *runs(x)) for seg, x in zip(segs, starts) if len(x)]
+    segs, firsts, lasts = zip(*rows) if rows else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(segs, pa.binary()), _lists(firsts, np.int32), _lists(lasts, np.int32)], names=["seg", "firsts", "lasts"])
 
 
 def _shards(batches):
@@ -189,44 +222,84 @@ def _shards(batches):
         yield _ranges(segs, repeated_starts(parts))
 
 
-def _windows(batches):
-    for batch in batches:
-        for seg, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            n = len(part) - LENGTH + 1
-            digests = [hashlib.blake2b(part[i : i + LENGTH], digest_size=16).digest() for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array([seg] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(digests, pa.binary())], names=["seg", "first", "window"])
-
-
-def _cut(batches):
-    names = ["uid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    for batch in batches:
-        rows = []
-        for uid, text, copies, ranges in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3)):
-            data = text.as_py().encode()
-            depth = np.zeros(len(data) + 1, np.int32)
-            found = ranges.as_py() or []
-            if copies.as_py() > 1 and len(data) >= LENGTH:
-                found = [{"a": 0, "b": len(data) - LENGTH + 1}]
-            if found:
-                np.add.at(depth, [r["a"] for r in found], 1)
-                np.add.at(depth, [r["b"] + LENGTH - 1 for r in found], -1)
-            gone = np.cumsum(depth[:-1]) > 0
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
-            rows.append((uid.as_py(), len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of each row.
+def _finer(width: int):
+    """Cuts segments where the distance from a window to its key's string passes multiples of width."""
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for key, gram, parent, part in zip(*(x.to_pylist() for x in batch.columns)):
+                data = np.frombuffer(part, np.uint8)
+                at = np.arange(len(data) - GRAM + 1)
+                places = np.flatnonzero(substring_hash(prefix(data), at, at + GRAM) == np.int64(gram).view(np.uint64))
+                window = np.arange(len(data) - LENGTH + 1)
+                place = places[np.searchsorted(places, window)]
+                group = (place - window) // width
+                new = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (place[1:] != place[:-1])))
+                finer = mix(np.int64(key).view(np.uint64) + group[new].astype(np.uint64) * np.uint64(2 * width + 1)).view(np.int64)
+                for a, b, g in zip(new.tolist(), np.append(new[1:], len(window)).tolist(), finer.tolist()):
+                    inner = part[a : b + LENGTH - 1]
+                    often = min(2, int(np.count_nonzero((places >= a) & (places <= b - 1 + LENGTH - GRAM))))
+                    rows.append((parent, a, b - a, often, g, gram, hashlib.blake2b(inner, digest_size=32).digest(), inner))
+            columns = list(zip(*rows)) or [[]] * 8
+            kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["parent", "start", "n", "often", "key", "gram", "seg", "bytes"])
+
+    return cut
+
+
+def told(places: DataFrame, hot: int, widths: tuple[int, ...]) -> DataFrame:
+    """(seg, firsts, lasts): runs of windows of the segments of `places` (key, gram, seg, bytes, n, often) that stand elsewhere in them, too."""
+    merged = places.groupBy("key", "seg").agg(F.first("bytes").alias("bytes"), F.first("gram").alias("gram"), F.first("n").alias("n"), F.max("often").alias("often"), F.count("*").alias("times"))
+    merged = written(merged, "merged")
+    whole = merged.filter("times > 1").select("seg", F.array(F.lit(0)).alias("firsts"), F.array("n").alias("lasts"))
+    several = merged.join(merged.groupBy("key").agg(F.sum("often").alias("c")).filter("c > 1"), "key")
+    if widths:
+        split = several.filter(F.col("c") > hot).select("key", "gram", "seg", "bytes")
+        cuts = written(split.mapInArrow(_finer(widths[0]), "parent binary, start int, n int, often int, key long, gram long, seg binary, bytes binary"), "cuts")
+        if not cuts.isEmpty():
+            inner = told(cuts, hot, widths[1:]).join(cuts.select("seg", "parent", "start"), "seg")
+            moved = [F.expr(f"transform({x}, y -> y + start)").alias(x) for x in ("firsts", "lasts")]
+            whole = whole.union(inner.select(F.col("parent").alias("seg"), *moved))
+    # A single window that is unlike the others of its key by bytes is no repeat.
+    arrays = several.filter((F.col("c") <= hot) & (F.col("n") > 1 if not widths else F.lit(True))).select("key", "seg", "bytes")
+    arrays = arrays.repartition("key").sortWithinPartitions("key", "seg")
+    return whole.union(arrays.mapInArrow(_shards, "seg binary, firsts array<int>, lasts array<int>"))
+
+
+def _cut(keep: bool):
+    names = ["uid", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * keep
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for uid, text, copies, ranges in zip(*(x.to_pylist() for x in batch.columns)):
+                data = text.encode()
+                depth = np.zeros(len(data) + 1, np.int32)
+                if copies > 1 and len(data) >= LENGTH:
+                    ranges = [{"start": 0, "firsts": [0], "lasts": [len(data) - LENGTH + 1]}]
+                for r in ranges or []:
+                    np.add.at(depth, [r["start"] + x for x in r["firsts"]], 1)
+                    np.add.at(depth, [r["start"] + x + LENGTH - 1 for x in r["lasts"]], -1)
+                gone = np.cumsum(depth[:-1]) > 0
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
+                rows.append((uid, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
+
+    return cut
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, keep: bool = True) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and, if `keep`, kept (the remaining bytes) of each row.
 
     Bytes go where a string of LENGTH bytes covers them that also starts elsewhere, in the same text or another row. Equal texts of that length go
     whole. Null and empty texts are 0 bytes, and texts shorter than LENGTH stay. Null ids and repeated rows stay (as copies of each other); other columns
     are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("uid", F.unhex(F.md5("text")))
+    rows = rows.withColumn("uid", F.unhex(F.sha2("text", 256)))
     texts = written(rows.groupBy("uid").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts")
     marks = written(texts.select("uid", "text").mapInArrow(_marks, "uid binary, starts array<int>, sizes array<int>, keys array<long>, often array<int>"), "marks")
     places = marks.select("uid", F.explode(F.arrays_zip("starts", "sizes", "keys", "often")).alias("p")).select("uid", F.col("p.starts").alias("start"), F.col("p.sizes").alias("n"), F.col("p.keys").alias("key"), F.col("p.often").alias("often"))
@@ -234,27 +307,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = places.join(keys, "key").groupBy("uid").agg(F.collect_list(F.struct("start", "n", "key", "often")).alias("places"))
     found = texts.select("uid", "text").join(shared, "uid").select("uid", "text", "places")
     found = written(found.mapInArrow(_segments, "uid binary, start int, n int, often int, key long, seg binary, bytes binary"), "segments")
-
-    merged = found.groupBy("key", "seg").agg(F.first("bytes").alias("bytes"), F.first("n").alias("n"), F.max("often").alias("often"), F.count("*").alias("times"))
-    merged = written(merged, "merged")
-    whole = merged.filter("times > 1").select("seg", F.lit(0).alias("first"), F.col("n").alias("last"))
-    kinds = merged.groupBy("key").agg(F.sum("often").alias("c")).filter("c > 1")
-    several = merged.join(kinds, "key").select("key", "seg", "bytes", "c")
-    by_array = several.filter(F.col("c") <= hot).repartition("key").sortWithinPartitions("key", "seg").select("key", "seg", "bytes")
-    told = by_array.mapInArrow(_shards, "seg binary, first int, last int")
-    windows = several.filter(F.col("c") > hot).select("key", "seg", "bytes").mapInArrow(_windows, "seg binary, first int, window binary")
-    windows = written(windows, "windows")
-    again = windows.groupBy("window").agg(F.count("*").alias("c")).filter("c > 1").select("window")
-    counted = windows.join(again, "window").select("seg", "first", (F.col("first") + 1).alias("last"))
-    ranges = written(whole.union(told).union(counted), "ranges")
-
-    per_text = found.select("uid", "start", "seg").join(ranges, "seg").select("uid", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last")).alias("b")).alias("r"))
-    per_text = per_text.groupBy("uid").agg(F.collect_list("r").alias("ranges"))
+    ranges = told(found.select("key", F.col("key").alias("gram"), "seg", "bytes", "n", "often"), hot, WIDTHS)
+    ranges = ranges.groupBy("seg").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("firsts", "lasts")))
+    ranges = written(ranges, "ranges")
+    per_text = found.select("uid", "start", "seg").join(ranges, "seg").groupBy("uid").agg(F.collect_list(F.struct("start", "firsts", "lasts")).alias("ranges"))
     cut = texts.join(per_text, "uid", "left").select("uid", "text", "copies", "ranges")
-    cut = written(cut.mapInArrow(_cut, "uid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "kept")
+    schema = "uid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
+    cut = written(cut.mapInArrow(_cut(keep), schema), "kept")
     return rows.select(id_col, "uid").join(cut, "uid").drop("uid")
 
 
 def op7_repeats(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for all documents."""
-    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False)
