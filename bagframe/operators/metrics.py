@@ -53,12 +53,75 @@ def _by_score(preds: DataFrame) -> DataFrame:
     return preds.groupBy("p1").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
 
 
+BUCKETS = 1024
+
+
+def auc_by(rows: DataFrame, *groups: str) -> DataFrame:
+    """groups, auc, pos and neg of rows (groups, p, hit 0/1): the area with ties averaged, null if one side is empty.
+
+    Scores are counted, dealt to buckets of their range and summed within these; only the buckets' sums are ordered by group.
+    """
+    keys = list(groups)
+    cells = rows.groupBy(*keys, "p").agg(F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg")).withColumn("bucket", F.floor(F.col("p") * BUCKETS))
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.groupBy(*keys, "bucket").agg(F.sum("neg").alias("n")).select(*keys, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy(*keys, "bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    below = cells.withColumn("inner", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(sums, [*keys, "bucket"]).withColumn("below", F.col("first") + F.col("inner"))
+    whole = F.sum("pos") * F.sum("neg")
+    area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / whole
+    return below.groupBy(*keys).agg(F.when(whole > 0, area).alias("auc"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def roc_auc_binary(preds: DataFrame) -> DataFrame:
-    """Area under the curve with ties averaged; -1 if the truth has one class. Scores are counted before they are ordered."""
-    w = Window.orderBy("p1").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = _by_score(preds).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))
-    return ranked.agg(F.when(F.sum("pos") * F.sum("neg") == 0, F.lit(-1.0)).otherwise(area).alias("auc"))
+    """Area under the curve with ties averaged; -1 if the truth has one class."""
+    rows = preds.select(F.col("p1").alias("p"), F.col("y").cast("long").alias("hit"), F.lit(1).alias("all"))
+    return auc_by(rows, "all").select(F.coalesce("auc", F.lit(-1.0)).alias("auc"))
+
+
+def softmax_probs(preds: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Adds probs, the softmax of the array `logits` times scale."""
+    scaled = F.transform("logits", lambda x: F.exp((x - F.array_max("logits")) * scale))
+    return preds.withColumn("e", scaled).withColumn("probs", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, v: s + v))).drop("e")
+
+
+def _one_against_rest(preds: DataFrame) -> DataFrame:
+    each = preds.select("y", F.posexplode("probs").alias("class", "p"))
+    return each.select("class", "p", (F.col("y") == F.col("class")).cast("long").alias("hit"))
+
+
+def roc_auc_ovr(preds: DataFrame) -> DataFrame:
+    """macro, weighted (by the classes' shares) and micro (all columns stacked) areas of y and the array probs; and nanmean, over the classes there are."""
+    rows = _one_against_rest(preds)
+    each = auc_by(rows, "class")
+    stacked = auc_by(rows.withColumn("all", F.lit(1)), "all").select(F.col("auc").alias("micro"))
+    whole = F.count("*") == F.count("auc")  # undefined if a class is lacking
+    out = each.agg(F.when(whole, F.avg("auc")).alias("macro"), F.when(whole, F.sum(F.col("auc") * F.col("pos")) / F.sum("pos")).alias("weighted"), F.avg("auc").alias("nanmean"))
+    return out.crossJoin(F.broadcast(stacked))  # one row each
+
+
+def roc_auc_ovo(preds: DataFrame) -> DataFrame:
+    """macro area over the pairs of classes, both directions averaged."""
+    other = F.filter(F.sequence(F.lit(0), F.size("probs") - 1), lambda c: c != F.col("y"))
+    pairs = preds.withColumn("other", F.explode(other))
+    own = pairs.select(F.col("y").alias("a"), F.col("other").alias("b"), F.expr("probs[y]").alias("p"), F.lit(1).cast("long").alias("hit"))
+    against = pairs.select(F.col("other").alias("a"), F.col("y").alias("b"), F.expr("probs[other]").alias("p"), F.lit(0).cast("long").alias("hit"))
+    return auc_by(own.union(against), "a", "b").agg(F.avg("auc").alias("macro"))
+
+
+def evaluate_all(preds: DataFrame) -> DataFrame:
+    """One row of every metric of predictions (y, yhat, probs): rates, kappas, areas. All parts are one row each."""
+    parts = [prf_scores(preds), roc_auc_ovr(preds).select(*[F.col(c).alias(f"auc_{c}") for c in ("macro", "weighted", "micro")])]
+    parts += [cohen_kappa(preds, k).select(F.col("kappa").alias(n)) for k, n in enumerate(("kappa", "linear_kappa", "quadratic_kappa"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(F.broadcast(part))
+    return out
+
+
+def combined_loss(losses: DataFrame, weight: float = 0.7, share: float = 0.5) -> DataFrame:
+    """Means of bag * weight + instance * (1 - weight), of half bag and half max, and of bag - share * entropy."""
+    bag = F.col("bag")
+    return losses.agg(F.avg(bag * weight + F.col("instance") * (1 - weight)).alias("weighted"), F.avg((bag + F.col("max")) / 2).alias("halves"), F.avg(bag - share * F.col("entropy")).alias("penalised"))
 
 
 def roc_curve(preds: DataFrame) -> DataFrame:
