@@ -1,20 +1,25 @@
 """Benchmark decontamination with DataFrame functions only.
 
-A window that holds an item has at least one of its shingles, so every place where one anchors a window of the item's size. Windows are
-fingerprinted by a 64-bit SimHash of their words and looked up by multi-index Hamming blocks: with RADIUS + 1 blocks, two fingerprints within RADIUS
-bits agree in one block at least, so the lookup misses none within it. Candidates are verified by exact weighted containment of the item's shingles.
+Windows of whole blocks of words are fingerprinted by 64-bit SimHash: bit counts of a block are summed side by side in the bytes of eight numbers,
+so a window's counts are sums of its blocks'. Texts have a window from every block on (every STEP words); items have one from every word on, so a
+passage that holds an item has windows that start where one of the item's does. An item's windows are of the classes of LENGTHS between a fifth of it
+and as much of it as surely has a block's start. Fingerprints are looked up by multi-index Hamming blocks: cut into radius + 1 parts, two within the
+radius agree in one part at least, so the lookup, which alone proposes candidates, misses none within it. A candidate is a place where an item may stand; it is
+verified by the exact weighted share of the item's word shingles that stand there.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import sized, written
 
-SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
-#: Up to so many item shingles are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+SHINGLE, THRESHOLD, STEP = 5, 0.8, 8
+#: Words of a window, and bits that its fingerprint may differ in. Shorter windows hold an edit or none, so they need no radius.
+LENGTHS = {1: 0, 2: 0, 4: 0, 8: 1, 16: 2, 32: 4, 64: 4}
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -28,83 +33,122 @@ def shingle_list(words: str, n: int):
     return F.expr(f"if(size({words}) >= {n}, {grams}, cast(array() as array<bigint>))")
 
 
-def simhash(words: str):
-    """Bit b is set where more of the words' hashes have it than not."""
-    return F.expr(
-        f"aggregate(sequence(0, 63), 0L, (f, b) -> f | if(aggregate(transform({words}, w -> xxhash64(w)), 0L, (s, h) -> s + (shiftright(h, b) & 1L) * 2 - 1) > 0, shiftleft(1L, b), 0L))"
-    )
-
-
-def hamming_blocks(fingerprint: str, radius: int = RADIUS):
-    """radius + 1 (block number, bits) structs that cover the 64 bits."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    parts = [f"struct({i} as block, shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L as bits)" for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return F.expr(f"array({', '.join(parts)})")
-
-
-def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col="text", item_id="item_id", item_text="text", threshold=THRESHOLD, n=SHINGLE, radius=RADIUS) -> DataFrame:
-    """(digest, items, similarity): md5 of each distinct text that holds items, their ids, and the highest similarity."""
+def _each(n: str, body: str, empty: str) -> str:
+    """SQL of an array of body over i from 0 to n - 1."""
+    return f"if({n} > 0, transform(sequence(0, {n} - 1), i -> {body}), cast(array() as {empty}))"
+
+
+def block_counts(hashes: str, step: int) -> str:
+    """SQL: for each whole block of `step` (at most 8) hashes, how many have each bit, in the bytes of eight numbers."""
+    # Four hashes fill half bytes without reaching the sign.
+    groups = [range(a, min(a + 4, step)) for a in range(0, step, 4)]
+    nibbles = [" + ".join(f"(shiftrightunsigned(w[{j}], {b}) & 1229782938247303441L)" for j in g) for g in groups for b in range(4)]
+    mask = "1085102592571150095L"
+    low = [" + ".join(f"(n[{4 * g + b}] & {mask})" for g in range(len(groups))) for b in range(4)]
+    high = [" + ".join(f"(shiftrightunsigned(n[{4 * g + b}], 4) & {mask})" for g in range(len(groups))) for b in range(4)]
+    halves = "array(" + ", ".join(x for pair in zip(low, high) for x in pair) + ")"
+    body = f"transform(array(slice({hashes}, i * {step} + 1, {step})), w -> transform(array(array({', '.join(nibbles)})), n -> {halves})[0])[0]"
+    return _each(f"size({hashes}) div {step}", body, "array<array<bigint>>")
+
+
+def joined_counts(counts: str, apart: int) -> str:
+    """SQL: the counts of windows twice as long: each window's with those of the one `apart` blocks on."""
+    body = "array(" + ", ".join(f"x[{k}] + y[{k}]" for k in range(8)) + ")"
+    return f"zip_with(slice({counts}, 1, greatest(size({counts}) - {apart}, 0)), slice({counts}, {1 + apart}, greatest(size({counts}), {1 + apart})), (x, y) -> {body})"
+
+
+def simhash(counts: str, length: int) -> str:
+    """SQL of the fingerprint of a window: the bits that more than half of its words have."""
+    add = (63 - length // 2) * 0x0101010101010101  # the sums stay below 128
+    parts = [f"shiftleft(shiftrightunsigned({counts}[{k}] + {add}L, 6) & 72340172838076673L, {k})" for k in range(8)]
+    return " | ".join(parts)
+
+
+def parts_of(fingerprint: str, length: int) -> str:
+    """SQL: radius + 1 numbers that tell the window's class, the part and its bits."""
+    n = LENGTHS[length] + 1
+    edges = [64 * i // n for i in range(n + 1)]
+    parts = [f"xxhash64({length}, {i}, shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1 if b - a < 64 else -1}L)" for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+    return f"array({', '.join(parts)})"
+
+
+def with_windows(rows: DataFrame, words: str, lengths: list[int]) -> DataFrame:
+    """rows with `windows`: at (its first word), length, print of every window of each length that begins at a block."""
+    out = rows.withColumn("__h", F.expr(f"transform({words}, w -> xxhash64(w))"))
+    steps = sorted({min(x, STEP) for x in lengths})
+    for s in steps:
+        out = out.withColumn(f"__{s}", F.expr(block_counts("__h", s)))
+    longest, at = max(lengths), STEP
+    while at < longest:
+        out = out.withColumn(f"__{2 * at}", F.expr(joined_counts(f"__{at}", at // STEP)))
+        at *= 2
+    found = [f"transform(__{x}, (c, i) -> named_struct('at', i * {min(x, STEP)}, 'length', {x}, 'print', {simhash('c', x)}))" for x in lengths]
+    return out.withColumn("windows", F.expr(f"concat({', '.join(found)})")).drop("__h", *{f"__{2**k}" for k in range(8)})
+
+
+def places(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(h, item, start): where in the texts (h, words) an item (item, item_words) may begin, in words (negative: before the text)."""
+    size = F.size("item_words")
+    fits = F.expr("filter(array({}), x -> x + least(x, {}) - 1 <= size(item_words) and 5 * x >= least(size(item_words), 64))".format(", ".join(map(str, LENGTHS)), STEP))
+    cut = items.select("item", "item_words", F.explode(fits).alias("length")).select("item", "item_words", "length", F.explode(F.sequence(F.lit(0), size - F.col("length"))).alias("offset"))
+    cut = written(cut.select("item", "length", "offset", F.expr("slice(item_words, offset + 1, length)").alias("w")), "item-windows")
+    lengths = [x for x in LENGTHS if not cut.filter(F.col("length") == x).isEmpty()]
+    parts = "case " + " ".join(f"when {{0}}.length = {x} then {parts_of('{0}.print', x)}" for x in lengths) + " end"
+    own = [with_windows(cut.filter(F.col("length") == x), "w", [x]).select("item", "offset", F.explode_outer("windows").alias("i")).filter("i is not null") for x in lengths]
+    index = reduce(DataFrame.union, own).select("item", "offset", F.col("i.length").alias("length"), F.col("i.print").alias("item_print"), F.explode_outer(F.expr(parts.format("i"))).alias("part"))
+    index = written(index, "item-index")
+    # explode() would ask for non-empty arrays first, by the whole expression once more.
+    seen = with_windows(texts, "words", lengths).select("h", F.explode_outer("windows").alias("x")).filter("x is not null")
+    seen = seen.select("h", "x.at", "x.length", "x.print", F.explode_outer(F.expr(parts.format("x"))).alias("part"))
+    radius = F.expr("case " + " ".join(f"when length = {x} then {LENGTHS[x]}" for x in lengths) + " end")
+    near = seen.join(sized(index), ["part", "length"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    return near.select("h", "item", (F.col("at") - F.col("offset")).alias("start")).distinct()
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col="text", item_id="item_id", item_text="text", threshold=THRESHOLD, n=SHINGLE) -> DataFrame:
+    """(digest, items, similarity): SHA-256 of each distinct text that holds items, their ids, and the highest similarity."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), word_list(F.col(item_text)).alias("item_words")).filter(F.size("item_words") > 0)
-    items = items.withColumn("n", F.least(F.lit(n), F.size("item_words")))
-    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most n numbers
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shingles = None
-    for k in lengths:
-        part = items.filter(F.col("n") == k).withColumn("shingles", shingle_list("item_words", k))
-        shingles = part if shingles is None else shingles.union(part)
-    if shingles is None:
+    items = written(items.withColumn("n", F.least(F.lit(n), F.size("item_words"))), "items")
+    lengths = [k for k in range(1, n + 1) if not items.filter(F.col("n") == k).isEmpty()]
+    if not lengths:
         return docs.sparkSession.createDataFrame([], "digest string, items array<bigint>, similarity double")
-    shingles = written(shingles, "items")
-    places = shingles.select("item", "n", F.size("item_words").alias("item_size"), F.posexplode("shingles").alias("item_at", "shingle"))
-    small = places.count() <= BROADCAST_ROWS
-    side = F.broadcast(places) if small else places
-    anchors = None
-    for k in lengths:
-        seen = texts.select(F.md5("text").alias("digest"), word_list(F.col("text")).alias("words"))
-        seen = seen.select("digest", F.posexplode(shingle_list("words", k)).alias("at", "shingle"))
-        own = side.filter(F.col("n") == k)
-        found = seen.join(own, "shingle").select("digest", "item", "item_size", F.greatest(F.lit(0), F.col("at") - F.col("item_at")).alias("start"))
-        anchors = found if anchors is None else anchors.union(found)
-    anchors = written(anchors.distinct(), "anchors")
-    hit = anchors.select("digest").distinct()
-    held = texts.withColumn("digest", F.md5("text")).join(hit, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
-    held = held.select("digest", word_list(F.col("text")).alias("words"))
-    windows = anchors.join(held, "digest").select("digest", "item", "start", F.expr("slice(words, start + 1, item_size)").alias("window"))
-    windows = written(windows.withColumn("fingerprint", simhash("window")), "windows")
-
-    index = shingles.withColumn("item_print", simhash("item_words")).select("item", "item_print", F.explode(hamming_blocks("item_print", radius)).alias("b"))
-    probes = windows.select("digest", "item", "start", "fingerprint", F.explode(hamming_blocks("fingerprint", radius)).alias("b"))
-    near = probes.join(index, ["item", "b"]).filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= radius)
-    near = near.select("digest", "item", "start").distinct()
+
+    def shingled(rows: DataFrame, words: str, keep: list[str]) -> DataFrame:
+        return reduce(DataFrame.union, [rows.filter(F.col("n") == k).select(*keep, F.explode(F.array_distinct(shingle_list(words, k))).alias("shingle")) for k in lengths])
+
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    found = written(places(texts.select("h", word_list(F.col("text")).alias("words")), items), "places")
+    per_text = written(found.groupBy("h").agg(F.collect_set(F.struct("item", "start")).alias("places")), "hits")
+    held = texts.join(sized(per_text), "h").select(F.sha2("text", 256).alias("digest"), word_list(F.col("text")).alias("words"), "places")
+    held = held.select("digest", "words", F.explode("places").alias("p")).select("digest", "words", "p.item", "p.start")
+    margin = "greatest(2, size(item_words) div 8)"
+    first = f"greatest(0, start - {margin})"
+    window = F.expr(f"slice(words, {first} + 1, greatest(0, start + size(item_words) + {margin} - {first}))")
+    windows = written(held.join(sized(items), "item").select("digest", "item", "start", "n", window.alias("window")).distinct(), "windows")
 
     # A shingle weighs more the fewer items have it.
-    total = shingles.count()
-    weights = places.groupBy("shingle").agg(F.log(1 + F.lit(float(total)) / F.countDistinct("item")).alias("weight"))
-    weighted = places.select("item", "shingle").distinct().join(weights, "shingle")
+    own = shingled(items, "item_words", ["item"])
+    total = items.count()
+    weights = own.groupBy("shingle").agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("weight"))
+    weighted = written(own.join(weights, "shingle"), "weights")
     sums = weighted.groupBy("item").agg(F.sum("weight").alias("whole"))
-    verified = None
-    for k in lengths:
-        one = windows.join(near, ["digest", "item", "start"]).join(shingles.filter(F.col("n") == k).select("item"), "item")
-        one = one.select("digest", "item", "start", F.explode(F.array_distinct(shingle_list("window", k))).alias("shingle"))
-        verified = one if verified is None else verified.union(one)
-    shared = verified.join(weighted, ["item", "shingle"]).groupBy("digest", "item", "start").agg(F.sum("weight").alias("part"))
+    shared = shingled(windows, "window", ["digest", "item", "start"]).join(sized(weighted), ["item", "shingle"])
+    shared = shared.groupBy("digest", "item", "start").agg(F.sum("weight").alias("part"))
     similar = shared.join(sums, "item").withColumn("similarity", F.col("part") / F.col("whole")).filter(F.col("similarity") >= threshold - 1e-9)
     return similar.groupBy("digest").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max("similarity").alias("similarity"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col="text", **options) -> DataFrame:
-    """docs with `contaminated` (boolean), `items` (ids of the items it holds; empty if none) and `similarity` (the highest weighted containment; 0 if none).
+    """docs with `contaminated` (boolean), `items` (ids of the items it holds; empty if none) and `similarity` (the highest weighted share; 0 if none).
 
-    A text holds an item if a window of the item's number of words has THRESHOLD of the weight of the item's shingles. Items of fewer than five words
-    are one shingle. Null and empty texts hold nothing, nor does anything hold an empty item. Equal texts are judged once; repeated rows all stay.
-    Columns of docs named like the three new ones are replaced.
+    A text holds an item if THRESHOLD of the weight of the item's shingles stand in a window of the item's words and an eighth more at either end.
+    Items of fewer than five words are one shingle. Null and empty texts hold nothing, nor does anything hold an empty item. Equal texts are judged
+    once; repeated rows all stay, an empty table stays empty. Columns of docs named like the three new ones, or __digest, are replaced.
     """
     found = written(contaminated_texts(docs, benchmark, text_col, **options), "contaminated")
-    kept = docs.drop("contaminated", "items", "similarity")
-    found = found.select(F.col("digest").alias("__digest"), "items", F.col("similarity").alias("similarity"))
-    if found.count() <= BROADCAST_ROWS // 10:
-        found = F.broadcast(found)
-    out = kept.withColumn("__digest", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).join(found, "__digest", "left").drop("__digest")
+    kept = docs.drop("contaminated", "items", "similarity", "__digest")
+    found = sized(found.select(F.col("digest").alias("__digest"), "items", "similarity"))
+    out = kept.withColumn("__digest", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).join(found, "__digest", "left").drop("__digest")
     out = out.withColumn("contaminated", F.col("items").isNotNull())
     return out.withColumn("items", F.coalesce("items", F.expr("cast(array() as array<bigint>)"))).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 

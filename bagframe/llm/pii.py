@@ -11,7 +11,9 @@ Mail addresses are no numbers; they become a keyed digest. Values that are not v
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import secrets
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -107,12 +109,25 @@ def pseudonym(m: str, key: str, kinds=tuple(PATTERNS)) -> str:
     return "case " + " ".join(f"when {full[k]} then {cases[k]}" for k in kinds) + f" else {m} end"
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = "bagframe") -> DataFrame:
-    """docs with personal values of the text column replaced and `n_private`, how many were found; the key is a secret of the caller's.
+KEY = "spark.bagframe.pseudonyms.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key set in the session under KEY; where there is none, one is drawn and kept for the session, so its pseudonyms agree with each other only."""
+    key = spark.conf.get(KEY, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY, key)
+    return key
+
+
+def pseudonymised(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
+    """docs with personal values of the text column replaced and `n_private`, how many were found; key: a secret of the caller's, else the session's.
 
     Null and empty texts stay as they are (0 found). Rows are handled alone: repeated rows stay, an empty table stays empty, and columns other than
-    the text and n_private are left alone.
+    the text, n_private and __found (which is taken) are left alone.
     """
+    key = key or session_key(docs.sparkSession)
     any_of = "|".join(PATTERNS.values())
     t = f"cast(`{text_col}` as string)"
     plan = f"if({t} rlike {_sql(any_of)}, regexp_extract_all({t}, {_sql('(' + any_of + ')')}, 1), cast(array() as array<string>))"

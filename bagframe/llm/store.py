@@ -6,12 +6,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows (of a few numbers and digests each, about 20 MB) that are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a temporary one on one machine (tests), and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-bagframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -27,3 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows are few; otherwise joins shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
