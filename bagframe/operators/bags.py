@@ -87,8 +87,14 @@ def spatial_bias(inst: DataFrame, radius: int) -> DataFrame:
     return near.select("bag_id", "src", "dst", (-F.floor(F.sqrt("d2"))).cast("long").alias("bias"))
 
 
+#: Centres that soft_assign takes.
+MOST_CENTRES = 4096
+
+
 def soft_assign(inst: DataFrame, centres: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """(bag_id, idx, k, w): Student-t membership of the centres (k, centre), a few rows that are broadcast."""
+    """(bag_id, idx, k, w): Student-t membership of the centres (k, centre): MOST_CENTRES at most, as all of them go to every task."""
+    if centres.count() > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centres")
     d2 = F.pow(vec_l2(F.col("feat"), F.col("centre")), 2)
     raw = F.pow(1 + d2 / alpha, F.lit(-(alpha + 1) / 2))
     near = inst.join(F.broadcast(centres)).select("bag_id", "idx", "k", raw.alias("raw"))

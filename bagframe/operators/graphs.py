@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rand import hash_order, hash_uniform
+from ..functions.rand import hash_placed, hash_uniform, placed
 from ..functions.vectors import vec_l2
 
 
@@ -22,11 +22,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def pair_bags(bags: DataFrame, seed: int = 0) -> DataFrame:
-    """A random partner for each bag (a permutation). Bag ids only are ordered as a whole."""
-    ids = bags.select("bag_id").distinct()
-    own = ids.withColumn("r", F.row_number().over(Window.orderBy("bag_id")))
-    other = ids.select(F.col("bag_id").alias("partner"), F.row_number().over(Window.orderBy(hash_order(seed, "bag_id"), "bag_id")).alias("r"))
-    return own.join(other, "r").drop("r")
+    """A random partner for each bag, whose ids are numbers (a permutation)."""
+    ids = bags.select("bag_id").distinct().withColumn("all", F.lit(1))
+    own = placed(ids, ["all"], F.floor(F.col("bag_id") / 1000), ["bag_id"])
+    other = hash_placed(ids, ["all"], seed, "bag_id").select(F.col("bag_id").alias("partner"), "r")
+    return own.select("bag_id", "r").join(other, "r").drop("r")
 
 
 def chosen_pairs(bags: DataFrame, prob: float = 0.5, seed: int = 0) -> DataFrame:

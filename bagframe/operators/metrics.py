@@ -125,10 +125,16 @@ def combined_loss(losses: DataFrame, weight: float = 0.7, share: float = 0.5) ->
 
 
 def roc_curve(preds: DataFrame) -> DataFrame:
-    w = Window.orderBy(F.desc("p1")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    out = _by_score(preds)
-    return out.select(F.col("p1").alias("threshold"), (F.sum("neg").over(w) / F.sum("neg").over(whole)).alias("fpr"), (F.sum("pos").over(w) / F.sum("pos").over(whole)).alias("tpr"))
+    """threshold, fpr, tpr of each score: the shares of both sides with that score or more, summed within buckets of the scores' range."""
+    cells = _by_score(preds).withColumn("bucket", -F.floor(F.col("p1") * BUCKETS)).withColumn("all", F.lit(1))
+    before = Window.partitionBy("all").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.groupBy("all", "bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    first = sums.select("bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"first_{c}") for c in "pn"])
+    whole = cells.agg(F.sum("pos").alias("all_p"), F.sum("neg").alias("all_n"))
+    inside = Window.partitionBy("bucket").orderBy(F.desc("p1")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = cells.withColumns({"in_p": F.sum("pos").over(inside), "in_n": F.sum("neg").over(inside)}).join(first, "bucket").crossJoin(F.broadcast(whole))  # one row
+    rate = lambda c: (F.col(f"first_{c}") + F.col(f"in_{c}")) / F.col(f"all_{c}")
+    return out.select(F.col("p1").alias("threshold"), rate("n").alias("fpr"), rate("p").alias("tpr"))
 
 
 def bce_loss(preds: DataFrame, eps: float = 1e-6) -> DataFrame:

@@ -57,11 +57,11 @@ def two_level_pool(inst: DataFrame, size: int = 512) -> DataFrame:
     return pool(pool(inst.withColumn("chunk", F.floor(F.col("idx") / size)), "bag_id", "chunk"), "bag_id")
 
 
-def zscore(inst: DataFrame, col: str = "score", by: tuple = ("bag_id",)) -> DataFrame:
-    """Adds z: standardised within the bag by the population deviation + 1e-8; exactly 0 where all its values are equal."""
+def zscore(inst: DataFrame, col: str = "score", by: tuple = ("bag_id",), least: float = 0.0) -> DataFrame:
+    """Adds z: standardised within the bag by the population deviation + 1e-8; exactly 0 where all its values are equal, or span `least` or less."""
     w, c = Window.partitionBy(*by), F.col(col)
     scaled = (c - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-8)
-    return inst.withColumn("z", F.when(F.min(c).over(w) == F.max(c).over(w), c * 0).otherwise(scaled))
+    return inst.withColumn("z", F.when(F.max(c).over(w) - F.min(c).over(w) <= least, c * 0).otherwise(scaled))
 
 
 def zscore_feat(inst: DataFrame) -> DataFrame:

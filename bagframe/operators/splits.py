@@ -3,11 +3,11 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rand import hash_order
+from ..functions.rand import hash_placed
 
 
 def _ranked(slides: DataFrame, seed: int) -> DataFrame:
-    return slides.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(hash_order(seed, "slide_id"), "slide_id")))
+    return hash_placed(slides, ["label"], seed, "slide_id")
 
 
 def stratified_kfold(slides: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -22,7 +22,7 @@ def stratified_split(slides: DataFrame, ratios: dict[str, float], seed: int = 0)
     """Adds role: shares of each label by falling position; role borders are rounded to the nearest."""
     if abs(sum(ratios.values()) - 1) > 1e-9:
         raise ValueError("ratios must sum to 1")
-    ranked = _ranked(slides, seed).withColumn("n", F.count("*").over(Window.partitionBy("label")))
+    ranked = _ranked(slides, seed).join(slides.groupBy("label").agg(F.count("*").alias("n")), "label")
     role, total = None, 0.0
     for name, share in ratios.items():
         total += share
@@ -70,8 +70,7 @@ def leakage_check(splits: DataFrame, key: str) -> DataFrame:
 def quota_split(slides: DataFrame, val_n: int, test_n: int, share: float = 1.0, repeats: int = 1, seed: int = 0) -> DataFrame:
     """(repeat, slide_id, label, role): val_n and test_n random slides of each label, and of the rest the first ceil(share n) by id for training."""
     many = slides.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    w = Window.partitionBy("repeat", "label")
-    ranked = many.withColumn("r", F.row_number().over(w.orderBy(hash_order(seed, "repeat", "slide_id"), "slide_id")))
+    ranked = hash_placed(many, ["repeat", "label"], seed, "repeat", "slide_id")
     role = F.when(F.col("r") <= val_n, "val").when(F.col("r") <= val_n + test_n, "test").otherwise("train")
     by_role = Window.partitionBy("repeat", "label", "role")
     out = ranked.withColumn("role", role).withColumn("nth", F.row_number().over(by_role.orderBy("slide_id"))).withColumn("n", F.count("*").over(by_role))
@@ -91,3 +90,14 @@ def holdout_then_kfold(slides: DataFrame, test: float, k: int, seed: int = 0) ->
     all_ = rest.unionByName(held.filter("role = 'test'").select("slide_id", F.lit(None).cast("long").alias("own")))
     out = all_.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
     return out.select("fold", "slide_id", F.when(F.col("own").isNull(), "test").when(F.col("own") == F.col("fold"), "val").otherwise("train").alias("role"))
+
+
+def kfold_then_val(slides: DataFrame, k: int, val: float, seed: int = 0) -> DataFrame:
+    """(fold, slide_id, role): fold f is the test of split f; of the others a share `val` of each label is val and the rest train."""
+    own = stratified_kfold(slides, k, seed).withColumnRenamed("fold", "own")
+    every = own.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
+    rest = every.filter("own != fold")
+    counts = rest.groupBy("fold", "label").agg(F.count("*").alias("n"))
+    ranked = hash_placed(rest, ["fold", "label"], seed + 1, "fold", "slide_id").join(counts, ["fold", "label"])
+    role = F.when(F.col("r") <= F.floor(F.col("n") * val + 0.5), "val").otherwise("train")
+    return ranked.select("fold", "slide_id", role.alias("role")).union(every.filter("own = fold").select("fold", "slide_id", F.lit("test").alias("role")))

@@ -10,7 +10,7 @@ from ..operators import graphs, metrics, pooling, select, splits
 from ..sources import tables as T
 
 DIM = 64
-INST = "inst AS (SELECT vec_id % 25 AS bag_id, vec_id // 25 AS idx, embedding AS feat, CAST(embedding[1] AS DOUBLE) AS score, label FROM embeddings)"
+INST = "inst AS (SELECT vec_id // 20 AS bag_id, vec_id % 20 AS idx, embedding AS feat, CAST(embedding[1] AS DOUBLE) AS score, label FROM embeddings)"
 POS = "pos AS (SELECT bag_id, idx, score, UNNEST(range(0, 64)) AS pos, CAST(UNNEST(feat) AS DOUBLE) AS v FROM inst)"
 LINES = """sc AS (SELECT l_orderkey AS bag_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS idx,
  CAST(l_extendedprice AS DOUBLE) AS score, CAST(l_partkey AS BIGINT) AS x, CAST(l_suppkey AS BIGINT) AS y FROM lineitem)"""
@@ -72,11 +72,10 @@ def softmax_pool(spark, sf) -> DataFrame:
     return long(pooling.softmax_pool(T.vectors(spark, sf), DIM))
 
 
-@query(f"""WITH {INST}, {POS} SELECT bag_id, CAST(pos AS INT) AS pos, round(sum(abs(m)), 6) AS value FROM
- (SELECT bag_id, pos, (v + avg(v) OVER (PARTITION BY bag_id, pos)) / 2 AS m FROM pos) GROUP BY bag_id, pos""")
+@query(f"""WITH {INST}, {POS} SELECT bag_id, idx, CAST(pos AS INT) AS pos, round((v + avg(v) OVER (PARTITION BY bag_id, pos)) / 2, 6) AS value FROM pos""")
 def global_mix(spark, sf) -> DataFrame:
     mixed = pooling.global_mix(T.vectors(spark, sf), DIM)
-    return long(mixed.select("bag_id", F.posexplode("feat").alias("p", "v")).groupBy("bag_id", "p").agg(F.sum(F.abs("v")).alias("v")).groupBy("bag_id").agg(F.expr("transform(array_sort(collect_list(struct(p, v))), s -> s.v)").alias("feat")))
+    return mixed.select("bag_id", "idx", F.posexplode("feat").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 @query(f"""WITH {LINES}, w AS (SELECT bag_id, exp((score - max(score) OVER (PARTITION BY bag_id)) / 10000) AS e FROM sc), p AS (SELECT bag_id, e / sum(e) OVER (PARTITION BY bag_id) AS p FROM w)
@@ -103,12 +102,10 @@ def two_level_pool(spark, sf) -> DataFrame:
     return rounded(pooling.two_level_pool(T.scores(spark, sf).withColumn("score", F.col("score") / 10000), 4), "score")
 
 
-@query(f"WITH {LINES} SELECT bag_id, idx, round((score - avg(score) OVER w) / (stddev_pop(score) OVER w + 1e-8), 4) AS z FROM sc WHERE bag_id IN (SELECT bag_id FROM sc GROUP BY bag_id HAVING stddev_pop(score) > 1) WINDOW w AS (PARTITION BY bag_id)")
+@query(f"""WITH {LINES} SELECT bag_id, idx, CASE WHEN max(score) OVER w - min(score) OVER w <= 1 THEN 0 ELSE round((score - avg(score) OVER w) / (stddev_pop(score) OVER w + 1e-8), 4) END AS z FROM sc WINDOW w AS (PARTITION BY bag_id)""")
 def zscore_features(spark, sf) -> DataFrame:
-    """Of bags whose scores differ; of equal scores only rounding errors would be scaled."""
-    inst = T.scores(spark, sf)
-    varied = inst.groupBy("bag_id").agg(F.stddev_pop("score").alias("s")).filter("s > 1")
-    return pooling.zscore(inst.join(varied, "bag_id", "left_semi")).select("bag_id", "idx", F.round("z", 4).alias("z"))
+    """Lines of all bags; scores of a bag that span 1 or less count as equal (z 0)."""
+    return pooling.zscore(T.scores(spark, sf), least=1.0).select("bag_id", "idx", F.round("z", 4).alias("z"))
 
 
 @query(f"WITH {SLIDES} SELECT label, count(*) AS slides, count(DISTINCT case_id) AS cases FROM sl GROUP BY label")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import attention, manifests, metrics
+from ..operators import attention, manifests, metrics, splits
 from ..sources import tables as T
 from .catalogue import DIM, INST, LINES, POS, SLIDES, long, query, rounded
 
@@ -210,3 +210,13 @@ def evaluate_all(spark, sf) -> DataFrame:
 def combined_loss(spark, sf) -> DataFrame:
     losses = T.table(spark, sf, "lineitem").selectExpr("cast(l_quantity as double) / 50 as bag", "cast(l_tax as double) as instance", "cast(l_discount as double) as max", "cast(l_linenumber as double) / 7 as entropy")
     return rounded(metrics.combined_loss(losses), "weighted", "halves", "penalised")
+
+
+HASH = "md5('{0}:' || {1})"
+
+
+@query(f"""WITH {SLIDES}, r AS (SELECT *, row_number() OVER (ORDER BY label, {HASH.format(0, 'slide_id')}, slide_id) - 1 AS r FROM sl), e AS (SELECT f AS fold, slide_id, label, r % 4 AS own FROM r, range(0, 4) t(f)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY fold, label ORDER BY {HASH.format(1, "fold || ':' || slide_id")}, slide_id) AS n, count(*) OVER (PARTITION BY fold, label) AS m FROM e WHERE own <> fold)
+ SELECT fold, slide_id, CASE WHEN n <= floor(m * 0.2 + 0.5) THEN 'val' ELSE 'train' END AS role FROM k UNION ALL SELECT fold, slide_id, 'test' FROM e WHERE own = fold""")
+def kfold_then_val(spark, sf) -> DataFrame:
+    return splits.kfold_then_val(T.slides(spark, sf), 4, 0.2)

@@ -9,8 +9,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vectors(spark, sf_dir) -> DataFrame:
-    """bag_id, idx, feat, score, label."""
-    return table(spark, sf_dir, "embeddings").selectExpr("vec_id % 25 as bag_id", "vec_id div 25 as idx", "embedding as feat", "cast(embedding[0] as double) as score", "label")
+    """bag_id, idx, feat, score, label: bags of twenty, so their number grows with the table."""
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id div 20 as bag_id", "vec_id % 20 as idx", "embedding as feat", "cast(embedding[0] as double) as score", "label")
 
 
 def scores(spark, sf_dir) -> DataFrame:
