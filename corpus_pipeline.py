@@ -22,10 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (similarity 0.8): that with the smallest id. Rows without an id stay; equal (id, text) rows count once."""
-    kept = neardup.near_components(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return chosen.select(COLUMNS).union(docs.filter("doc_id is null").select(COLUMNS))
+    """One document of each near-duplicate group (similarity 0.8): that with the smallest id, rows without an id last. Texts without words stay; equal
+    (id, text) rows with words count once."""
+    return neardup.without_near_copies(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
