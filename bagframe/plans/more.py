@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import attention, manifests, metrics, splits
+from ..operators import attention, clusters, manifests, metrics, pooling, splits
 from ..sources import tables as T
 from .catalogue import DIM, INST, LINES, POS, SLIDES, long, query, rounded
 
@@ -220,3 +220,121 @@ HASH = "md5('{0}:' || {1})"
  SELECT fold, slide_id, CASE WHEN n <= floor(m * 0.2 + 0.5) THEN 'val' ELSE 'train' END AS role FROM k UNION ALL SELECT fold, slide_id, 'test' FROM e WHERE own = fold""")
 def kfold_then_val(spark, sf) -> DataFrame:
     return splits.kfold_then_val(T.slides(spark, sf), 4, 0.2)
+
+
+AFFINE = """af AS (SELECT a.bag_id, a.idx AS src, b.idx AS dst, round(list_inner_product(a.feat::DOUBLE[], b.feat::DOUBLE[]) / 8, 9) AS s FROM inst a JOIN inst b ON a.bag_id = b.bag_id),
+ tk AS (SELECT * FROM af QUALIFY row_number() OVER (PARTITION BY bag_id, src ORDER BY s DESC, dst) <= 10),
+ ed AS (SELECT bag_id, src, dst, exp(s) / sum(exp(s)) OVER (PARTITION BY bag_id, src) AS w FROM tk)"""
+
+
+@query(f"WITH {INST}, {AFFINE} SELECT bag_id, src, dst, round(w, 6) AS w FROM ed")
+def affinity_graph(spark, sf) -> DataFrame:
+    return rounded(clusters.affinity_graph(T.vectors(spark, sf), 10, DIM), "w")
+
+
+@query(f"WITH {INST}, {POS}, {AFFINE} SELECT ed.bag_id, src AS idx, CAST(pos AS INT) AS pos, round(sum(w * v), 6) AS value FROM ed JOIN pos ON ed.bag_id = pos.bag_id AND ed.dst = pos.idx GROUP BY ALL")
+def neighbour_aggregate(spark, sf) -> DataFrame:
+    inst = T.vectors(spark, sf)
+    out = clusters.neighbour_aggregate(clusters.affinity_graph(inst, 10, DIM), inst, DIM)
+    return out.select("bag_id", "idx", F.posexplode("feat").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {INST}, {POS} SELECT bag_id, idx % 3 AS k, CAST(pos AS INT) AS pos, round(sum(v / (idx + 1)), 6) AS value FROM pos GROUP BY ALL")
+def soft_cluster_pool(spark, sf) -> DataFrame:
+    """Clusters idx % 3 with membership 1 / (idx + 1)."""
+    inst = T.vectors(spark, sf)
+    out = clusters.soft_cluster_pool(inst.selectExpr("bag_id", "idx", "idx % 3 as k", "1.0D / (idx + 1) as w"), inst, DIM)
+    return out.select("bag_id", "k", F.posexplode("feat").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {INST} SELECT bag_id, label AS cluster, CAST(pos AS INT) AS pos, round(avg(v), 6) AS value FROM (SELECT bag_id, label, UNNEST(range(0, 64)) AS pos, CAST(UNNEST(feat) AS DOUBLE) AS v FROM inst) GROUP BY ALL")
+def bag_prototypes(spark, sf) -> DataFrame:
+    out = clusters.bag_prototypes(T.vectors(spark, sf).withColumnRenamed("label", "cluster"), DIM)
+    return out.select("bag_id", "cluster", F.posexplode("feat").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("""WITH r AS (SELECT o_custkey AS bag_id, o_orderkey AS idx, count(*) OVER w AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r FROM orders WINDOW w AS (PARTITION BY o_custkey)),
+ p AS (SELECT *, CASE WHEN n >= 8 THEN n // 4 ELSE 1 END AS parts FROM r), q AS (SELECT *, n // parts AS base, n % parts AS more FROM p)
+ SELECT bag_id, idx, CASE WHEN r < more * (base + 1) THEN r // (base + 1) ELSE more + (r - more * (base + 1)) // base END AS "window" FROM q""")
+def split_large_clusters(spark, sf) -> DataFrame:
+    orders = T.table(spark, sf, "orders").selectExpr("o_custkey as bag_id", "o_orderkey as idx")
+    return clusters.split_large_clusters(orders, 4)
+
+
+@query(f"""WITH {INST}, hd AS (SELECT bag_id, idx, h, exp(feat[h + 1]) / sum(exp(feat[h + 1])) OVER (PARTITION BY bag_id, h) AS a FROM inst, range(0, 4) t(h)),
+ c AS (SELECT x.bag_id, x.h AS i, y.h AS j, sum(x.a * y.a) / sqrt(sum(x.a * x.a) * sum(y.a * y.a)) AS c FROM hd x JOIN hd y ON x.bag_id = y.bag_id AND x.idx = y.idx AND x.h < y.h GROUP BY ALL)
+ SELECT bag_id, round(avg(c), 6) AS diversity FROM c GROUP BY bag_id""")
+def attention_diversity(spark, sf) -> DataFrame:
+    """Four heads: the softmax of each of the first four elements."""
+    heads = T.vectors(spark, sf).select("bag_id", "idx", F.posexplode(F.slice("feat", 1, 4)).alias("head", "s"))
+    heads = heads.withColumn("a", attention.softmax_weight(F.col("s").cast("double"), "bag_id", "head"))
+    return rounded(clusters.attention_diversity(heads), "diversity")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+ SELECT round(avg(greatest(0, list_cosine_similarity(a.v, n.v) - list_cosine_similarity(a.v, p.v) + 1)), 6) AS loss FROM e a JOIN e p ON p.vec_id = a.vec_id + 1 JOIN e n ON n.vec_id = a.vec_id + 2""")
+def triplet_loss(spark, sf) -> DataFrame:
+    """Each embedding with the next one as positive and the one after as negative."""
+    e = T.table(spark, sf, "embeddings")
+    side = lambda name, shift: e.select((F.col("vec_id") - shift).alias("vec_id"), F.col("embedding").alias(name))
+    return rounded(clusters.triplet_loss(side("a", 0).join(side("p", 1), "vec_id").join(side("n", 2), "vec_id")), "loss")
+
+
+@query(f"WITH {INST}, {POS}, m AS (SELECT bag_id, pos, avg(v) AS m FROM pos GROUP BY ALL) SELECT bag_id, idx, round(sum(v * m), 6) AS importance FROM pos JOIN m USING (bag_id, pos) GROUP BY bag_id, idx")
+def bag_importance(spark, sf) -> DataFrame:
+    inst = T.vectors(spark, sf)
+    return rounded(clusters.bag_importance(inst, pooling.mean_pool(inst, DIM)).select("bag_id", "idx", "importance"), "importance")
+
+
+@query(f"""WITH {LINES}, p AS (SELECT *, 1 / (1 + exp(-(score - 30000) / 20000)) AS p FROM sc), r AS (SELECT bag_id, p, 1 AS y FROM p QUALIFY row_number() OVER (PARTITION BY bag_id ORDER BY score DESC, idx) <= 2
+ UNION ALL SELECT bag_id, p, 0 FROM p QUALIFY row_number() OVER (PARTITION BY bag_id ORDER BY score, idx) <= 2)
+ SELECT bag_id, count(*) AS n, round(avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)), 6) AS loss, round(avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0 ELSE 0 END), 6) AS accuracy FROM r GROUP BY bag_id""")
+def instance_eval(spark, sf) -> DataFrame:
+    prob = attention.sigmoid((F.col("score") - 30000) / 20000)
+    return rounded(clusters.instance_eval(T.scores(spark, sf), prob, 2), "loss", "accuracy")
+
+
+@query(f"""WITH {LINES}, t AS (SELECT *, row_number() OVER (PARTITION BY bag_id ORDER BY score DESC, idx) <= 4 AS top FROM sc),
+ d AS (SELECT *, top AND row_number() OVER (PARTITION BY bag_id, top ORDER BY md5('5:' || bag_id || ':' || idx)) <= 2 AS masked FROM t),
+ k AS (SELECT *, CASE WHEN masked THEN NULL ELSE score / 10000 END AS s FROM d), e AS (SELECT *, coalesce(exp(s - max(s) OVER (PARTITION BY bag_id)), 0) AS e FROM k)
+ SELECT bag_id, idx, masked, CASE WHEN sum(e) OVER w = 0 THEN NULL ELSE round(e / sum(e) OVER w, 6) END AS weight FROM e WINDOW w AS (PARTITION BY bag_id)""")
+def stochastic_topk_mask(spark, sf) -> DataFrame:
+    """Bags whose instances are all masked have no weights."""
+    inst = T.scores(spark, sf).withColumn("score", F.col("score") / 10000)
+    return rounded(clusters.stochastic_topk_mask(inst, 4, 0.5, 5).select("bag_id", "idx", "masked", "weight"), "weight")
+
+
+@query(f"WITH {LINES} SELECT bag_id, idx, score FROM sc QUALIFY row_number() OVER (PARTITION BY bag_id ORDER BY md5('6:' || bag_id || ':' || idx)) <= 3")
+def sample_patches(spark, sf) -> DataFrame:
+    return clusters.sample_patches(T.scores(spark, sf), 3, 6).select("bag_id", "idx", "score")
+
+
+@query("SELECT s_suppkey, s_suppkey * 2 AS x, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE -s_nationkey END AS y FROM supplier WHERE s_suppkey % 7 > 0 UNION ALL SELECT s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 7 = 0")
+def parse_patch_name(spark, sf) -> DataFrame:
+    """Names made of two keys; every seventh is none."""
+    name = F.expr("if(s_suppkey % 7 = 0, 'cover.jpg', concat(s_suppkey * 2, '_', -s_nationkey, '.jpg'))")
+    return T.table(spark, sf, "supplier").select("s_suppkey", clusters.parse_patch_name(name).alias("p")).select("s_suppkey", "p.x", "p.y")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 2 END AS n, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey + s_nationkey END AS total FROM supplier")
+def parse_ids(spark, sf) -> DataFrame:
+    """How many numbers a text of two keys holds and their sum; every fifth is 'none'."""
+    text = F.expr("if(s_suppkey % 5 = 0, 'none', concat(s_suppkey, ', ', s_nationkey))")
+    ids = T.table(spark, sf, "supplier").select("s_suppkey", clusters.parse_ids(text).alias("ids"))
+    total = F.when(F.size("ids") > 0, F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x))
+    return ids.select("s_suppkey", F.size("ids").alias("n"), total.alias("total"))
+
+
+@query("SELECT o_orderkey AS slide_id, CASE WHEN o_orderkey % 3 = 0 THEN 8 ELSE o_orderkey % 10 END AS sthresh, 512 AS a_t, 1 AS process, 'tbp' AS status FROM orders")
+def init_process_list(spark, sf) -> DataFrame:
+    slides = T.table(spark, sf, "orders").selectExpr("o_orderkey as slide_id", "if(o_orderkey % 3 = 0, null, o_orderkey % 10) as sthresh")
+    return clusters.init_process_list(slides, {"sthresh": 8, "a_t": 512})
+
+
+@query("""SELECT o_orderkey AS slide_id, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 5) THEN 'already_exist' WHEN o_orderkey % 11 = 0 THEN 'failed_for_level'
+ WHEN CAST(o_totalprice AS DOUBLE) * 1000 > 1e8 THEN 'failed_seg' ELSE 'tbp' END AS status FROM orders""")
+def pending_work(spark, sf) -> DataFrame:
+    """Orders as slides: done if they have a fifth line, without a level if divisible by 11, their price as area."""
+    proc = T.table(spark, sf, "orders").selectExpr("o_orderkey as slide_id", "if(o_orderkey % 11 = 0, null, 1) as level", "cast(o_totalprice as double) * 1000 as area")
+    done = T.table(spark, sf, "lineitem").filter("l_linenumber = 5").select(F.col("l_orderkey").alias("slide_id"))
+    return clusters.pending_work(proc, done).select("slide_id", "status")
