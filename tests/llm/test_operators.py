@@ -83,7 +83,38 @@ def test_media(docs, none):
     assert jpeg.media_features(jpeg.media_table(none)).count() == 0
     raw = random.Random(1).randbytes(600_000)  # needs a wider image
     (head, grey), = jpeg.decode(jpeg.encode([raw]))
-    assert grey.ravel()[: head["payload"]].tobytes().rstrip(b"\0") == raw.rstrip(b"\0")
+    assert jpeg.SWAP[grey].ravel()[: head["payload"]].tobytes().rstrip(b"\0") == raw.rstrip(b"\0")
+
+
+def test_media_of_others():
+    """A baseline image with AC codes, no restart intervals and other tables; and a text in several images."""
+    dc, ac = ([0, 2, 2] + [0] * 13, [0, 3, 5, 6]), ([0, 1, 2, 1] + [0] * 12, [0x00, 0x03, 0x21, 0xF0])
+    dc_codes, ac_codes = jpeg.codes(*dc), jpeg.codes(*ac)
+    draw, bits, want, before = random.Random(3), "", [], 0
+    for _ in range(12):
+        diff = draw.choice([0, 5, -7, 20, -25, 40, -33])
+        n = abs(diff).bit_length()
+        parts = [(dc_codes[n], diff if diff > 0 else diff + (1 << n) - 1, n)]
+        parts += [(ac_codes[s], 0, s & 15) for s in draw.choices([0x03, 0x21, 0xF0], k=draw.randint(0, 3))] + [(ac_codes[0], 0, 0)]
+        for (code, size), extra, m in parts:
+            bits += f"{code:0{size}b}" + (f"{extra:0{m}b}" if m else "")
+        before += diff
+        want.append(min(255, max(0, before * 16 // 8 + 128)))
+    bits += "1" * (-len(bits) % 8)
+    scan = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    tables = bytes([0x00, *dc[0], *dc[1]]) + bytes([0x11, *ac[0], *ac[1]])
+    image = b"\xff\xd8" + jpeg.segment(0xDB, bytes([0] + [16] * 64)) + jpeg.segment(0xC0, bytes([8, 0, 24, 0, 30, 1, 1, 0x11, 0]))
+    image += jpeg.segment(0xC4, tables) + jpeg.segment(0xDA, bytes([1, 1, 0x01, 0, 63, 0])) + scan + b"\xff\xd9"
+    (head, grey), = jpeg.decode([image])
+    assert (head["width"], head["height"]) == (30, 24) and grey.tolist() == np.array(want).reshape(3, 4).tolist()
+
+
+def test_media_in_several_images(monkeypatch):
+    monkeypatch.setattr(jpeg, "MOST", 640)
+    text = LONG.encode()[:2000]
+    media, = jpeg.encode([text])
+    images = jpeg.images_of(media)
+    assert len(images) == 4 and b"".join(jpeg.SWAP[g].ravel()[: h["n_bytes"]].tobytes() for h, g in jpeg.decode(images)) == text
 
 
 def test_licenses(docs, none):
@@ -150,10 +181,22 @@ def test_token_ids_of_literals(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = pfor.token_rows(pfor.token_files(frame)).collect()
     assert {r["id"]: r["n_tokens"] for r in rows} == {i: len(x) + 1 for i, x in enumerate(want)}  # and the end id
+    assert {r["id"]: r["ids_crc32"] for r in rows} == {i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in enumerate(want)}
     pieces = packing.packed(frame, size=256).collect()
     assert {r["doc_id"]: r["doc_tokens"] for r in pieces if r["start"] == 0} == {i: len(x) + 1 for i, x in enumerate(want)}
 
 
+def test_token_ids_of_odd_texts():
+    """Parts joined are the ids of the whole text, whatever white space, marks and literals meet."""
+    from tokenizers import Tokenizer
+
+    path, draw = tokens.vocabulary(), random.Random(2)
+    plain, own = Tokenizer.from_file(path), tokens.Encoder(path)
+    marks = [" ", "\n", "\t", "\r", "  ", "\x85", "\xa0", "\u3000", "\x1c", "\0", "a", "B", "\u00e9", "1", "23", "'s", "'t", ".", "!?", "<|endoftext|>", "<|", "\u5b57", "\u200b", "\u0301", "-"]
+    texts = ["".join(draw.choices(marks, k=draw.randint(0, 40))) for _ in range(3000)] + [" ".join(LONG.split() * 40)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_secrets(docs, none):
     assert frozenset({"aki"}) in secrets.trigram_query("AKIA[A-Z0-9]+") and not secrets.trigram_query("[0-9a-f]+")
     rules = {k: (re.compile(x, re.A), g, n) for k, x, g, n in secrets.RULES}
@@ -186,8 +229,12 @@ def test_repeats(docs, none, hot):
 def test_suffix_array():
     draw = random.Random(2)
     for _ in range(100):
-        s = [draw.randint(1, 3) for _ in range(draw.randint(0, 40))] + [0]
-        assert suffix.suffix_array(s, 4) == sorted(range(len(s)), key=lambda i: s[i:])
+        s = np.array([draw.randint(1, 3) for _ in range(draw.randint(2, 40))] + [0])
+        assert suffix.shard_array(s, 4, 1).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    for _ in range(50):
+        segments = [bytes(draw.choices(b"abc", k=draw.randint(4, 30))) for _ in range(draw.randint(1, 6))]
+        seen = Counter(x[i : i + 4] for x in segments for i in range(len(x) - 3))
+        assert [x.tolist() for x in suffix.repeated_starts(segments, 4)] == [[i for i in range(len(x) - 3) if seen[x[i : i + 4]] > 1] for x in segments]
 
 
 def test_near_duplicates(docs, none):
@@ -207,6 +254,54 @@ def test_near_duplicates(docs, none):
     assert neardup.near_components(none).count() == 0
 
 
+def shingles(text: str) -> set:
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_near_duplicates_in_a_large_group(spark, num):
+    """Hundreds of edited copies of one text, copies of these, a passage common to other texts and short lists: the components are those of all pairs."""
+    draw = random.Random(num)
+    vocabulary = [f"v{i}" for i in range(400)]
+    base, passage = draw.choices(vocabulary, k=140), draw.choices(vocabulary, k=60)
+    texts = [base]
+    for _ in range(170):
+        w = list(draw.choice(texts[:12]))
+        for _ in range(draw.choice([0, 1, 1, 2, 3, 4, 6, 9])):
+            i = draw.randrange(len(w))
+            w[i : i + draw.choice([0, 1, 1, 2])] = draw.choices(vocabulary[:30], k=draw.choice([0, 1, 1]))
+        texts.append(w)
+    texts += [passage + draw.choices(vocabulary, k=draw.randint(0, 40)) for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets, comp = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(i: int) -> int:
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                comp[y] = x
+    want = {i: top(i) for i, _ in rows}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_components(frame, num=num).collect()}
+    assert got == want and 1 < len(set(want.values())) < len(rows)
+    kept = {r["doc_id"] for r in neardup.without_near_copies(frame, num=num).collect()}
+    assert kept == set(want.values())
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null ids, equal ids, repeated rows: exactly one row of each group with words stays, and every row without words."""
+    rows = [(1, LONG), (None, LONG), (None, LONG), (2, LONG + " end"), (3, "other text of some more words"), (3, "quite another text under the same id"), (4, None), (4, None), (None, ""), (5, "once only here"), (5, "once only here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in neardup.without_near_copies(frame).collect())
+    assert got == Counter([rows[0], *rows[4:10]])
+
+
 def test_packing(docs, none):
     rows = packing.packed(docs, size=256).collect()
     by: dict = {}
@@ -230,3 +325,30 @@ def test_decontamination(spark, docs, none):
     assert [r["contaminated"] for r in decontam.decontaminated(edited, items).orderBy("doc_id").collect()] == [True, False]
     assert decontam.decontaminated(none, items).count() == 0
     assert not decontam.decontaminated(docs, items.filter("false")).filter("contaminated").count()
+
+
+def test_decontamination_of_edited_items(spark):
+    """Items with words changed, put in or left out, within other text: nine of ten that hold 0.8 of their item's weight are found, and nothing else."""
+    draw = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = {i: draw.choices(vocabulary, k=draw.randint(6, 90)) for i in range(120)}
+    rows, want = [], {}
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    often = Counter(g for w in items.values() for g in grams(w))
+    weight = lambda g: np.log(1 + len(items) / often[g])
+    for i, words in items.items():
+        for k in range(3):
+            w = list(words)
+            for _ in range(draw.choice([0, 1, 2])):
+                j = draw.randrange(len(w))
+                w[j : j + draw.choice([0, 1, 1])] = draw.choices(vocabulary, k=draw.choice([0, 1]))
+            part = sum(weight(g) for g in grams(words) & grams(w)) / sum(weight(g) for g in grams(words))
+            want[3 * i + k] = i if part >= 0.8 else None
+            rows.append((3 * i + k, " ".join(draw.choices(vocabulary, k=draw.randint(0, 30)) + w + draw.choices(vocabulary, k=draw.randint(0, 30)))))
+    rows += [(1000 + i, " ".join(draw.choices(vocabulary, k=300))) for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontam.decontaminated(frame, bench).collect()}
+    due = [d for d, i in want.items() if i is not None]
+    assert sum(want[d] in got[d] for d in due) >= 0.97 * len(due) and not any(got[1000 + i] for i in range(50))
+    assert all(x == [want[d]] for d, x in got.items() if x and want.get(d) is not None)
