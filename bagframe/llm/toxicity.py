@@ -6,6 +6,8 @@ the driver holds that sample's features only; its weights are at most 2**BITS nu
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,12 +70,21 @@ def text_features(column, wanted=None):
             yield low[a:b]
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Rising numbers as compressed steps; the driver holds the sample in this form."""
+    return zlib.compress(np.diff(numbers, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
+
+
+def opened(row: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(row), "<u4"))
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, epochs=EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature numbers with weights other than 0, these weights, and the bias (learned without L1). Per-coordinate rates alpha / (beta + sqrt(n))."""
+def ftrl(rows: list, labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, epochs=EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Rows are arrays of feature numbers, or squeezed() ones. Feature numbers with weights other than 0, these weights, and the bias (learned without L1). Per-coordinate rates alpha / (beta + sqrt(n))."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
 
@@ -87,7 +98,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=
 
     for _ in range(epochs):
         for x, y in zip(rows, labels):
-            i = np.append(x, bias).astype(np.int64)
+            i = np.append(opened(x) if isinstance(x, bytes) else x, bias).astype(np.int64)
             w = weights(i)
             g = sigmoid(w.sum()) - y
             s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
@@ -107,12 +118,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 
     def extract(batches):
         for batch in batches:
-            found = [x.tobytes() for x in text_features(batch.column(2))]
+            found = [squeezed(x) for x in text_features(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "y", "x"])
 
     joined = texts.join(F.broadcast(known), "id").select("id", "y", "text")
-    rows = joined.mapInArrow(extract, "id long, y int, x binary").groupBy("id").agg(F.min(F.struct("x", "y")).alias("r")).select("id", "r.x", "r.y").orderBy(order, "id").collect()
-    return ftrl([np.frombuffer(r["x"], np.uint32) for r in rows], np.array([r["y"] for r in rows], float))
+    rows = joined.mapInArrow(extract, "id long, y int, x binary").groupBy("id").agg(F.min(F.struct("x", "y")).alias("r")).select("id", "r.x", "r.y").orderBy(order, "id")
+    held, marks = [], []
+    for r in rows.toLocalIterator():  # `most` rows, part by part
+        held.append(bytes(r["x"]))
+        marks.append(r["y"])
+    return ftrl(held, np.array(marks, float))
 
 
 def scored(docs: DataFrame, model, id_col="doc_id", text_col="text", threshold: float = 0.3) -> DataFrame:
