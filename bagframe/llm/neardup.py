@@ -32,8 +32,9 @@ from .store import sized, written
 
 K = 64
 MISS = 1e-6
-#: Members of a centre that one task compares, about.
+#: Members of a centre that one task compares, about, and rows of an Arrow batch that become Python objects at once.
 MEMBERS = 500
+SLICE = 500
 #: Lists with up to so many open members are settled at once: these meet all members, so a list makes rows by its length.
 SHORT = 12
 #: The same for the lists of later rounds, of which most pairs are ruled out by what their members have and ask for.
@@ -72,7 +73,7 @@ def with_sketches(docs: DataFrame, key: str, text: str, k: int, n: int) -> DataF
                 for values in shingle_sets(data, offs, SPACE, n):
                     sizes.append(len(values))
                     classes.append(_digest(values) if len(values) else None)
-                    kept.append(values[:k].view(np.int64))
+                    kept.append(values[:k].view(np.int64).copy())  # not a view that keeps the whole set
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32), np.concatenate([*kept, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), lists], names=["id", "text_hash", "n_shingles", "cls", "sketch"])
 
@@ -104,6 +105,12 @@ def beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return sized(both).join(table, "cls").repartition("c", "salt").sortWithinPartitions("c", "salt", F.desc("own"))
 
 
+def _sliced(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _lists(values: list[list[int]]) -> pa.ListArray:
     flat = [v for x in values for v in x]
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)), pa.array(flat, pa.int64()))
@@ -124,7 +131,7 @@ def sketched(pairs: DataFrame, ranked: DataFrame, num: int, den: int, k: int) ->
 
     def compare(batches):
         centre, size_c = set(), 0
-        for batch in batches:
+        for batch in _sliced(batches):
             out = []
             for c, cls, own, again, size, wanted, room, sketch, values in zip(*(x.to_pylist() for x in batch.columns)):
                 if own:
@@ -152,7 +159,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     def compare(batches):
         centre = np.zeros(1, np.uint64)
-        for batch in batches:
+        for batch in _sliced(batches):
             out = []
             for c, cls, own, again, members in zip(*(x.to_pylist() for x in batch.columns)):
                 own_set = np.frombuffer(members, np.uint64)
