@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .align import op12_alignment
+from .bloomrank import SEARCH_SQL, op11_search
 from .decontam import op10_decontamination
 from .jpeg import op2_media
+from .langid import op13_language
 from .licenses import op3_licenses
 from .neardup import op8_near_duplicates
 from .packing import op9_packed_sequences
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_packed_sequences": op9_packed_sequences,
     "op10_decontamination": op10_decontamination,
+    "op11_search": op11_search,
+    "op12_alignment": op12_alignment,
+    "op13_language": op13_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_search": SEARCH_SQL}
