@@ -34,3 +34,12 @@ def epochs(spark, sf_dir) -> DataFrame:
     """run, epoch, value: the events of users."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.row_number().over(w).alias("epoch"), F.col("value").cast("double").alias("value"))
+
+
+def contours(spark, sf_dir) -> DataFrame:
+    """slide_id, cont_id, parent_id, poly: a diamond for each supplier, on its nation's slide, with a hole of half the radius for even keys."""
+    s = table(spark, sf_dir, "supplier").selectExpr("s_nationkey as slide_id", "s_suppkey * 2 as cont_id", "s_suppkey * 2000 + 1000 as cx", "500 + s_nationkey * 20 as r", "s_suppkey % 2 = 0 as holed")
+    kinds = F.expr("if(holed, array(0, 1), array(0))")
+    s = s.withColumn("hole", F.explode(kinds)).withColumn("r", F.expr("if(hole = 1, r div 2, r)"))
+    poly = F.expr("array(struct(cx - r as x, 1000L as y), struct(cx as x, 1000L - r as y), struct(cx + r as x, 1000L as y), struct(cx as x, 1000L + r as y))")
+    return s.select("slide_id", (F.col("cont_id") + F.col("hole")).alias("cont_id"), F.expr("if(hole = 1, cont_id, -1L)").alias("parent_id"), poly.alias("poly"))
