@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,11 +33,14 @@ NOTICES = {
 }
 #: The tag before a licence expression.
 TAG = "spdx license identifier"
-#: Identifiers without version and suffix, and how free they are, from 0 to 1.
+#: Identifiers without version and suffix, and how free they are, from 0 to 1. Fixed values.
 FREEDOM = {
-    "mit": 1.0, "apache-2": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "public-domain": 1.0, "cc-by": 0.9, "mpl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.6,
-    "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "all-rights-reserved": 0.0,
+    "mit": 1.0, "apache-2": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "public-domain": 1.0, "0bsd": 1.0, "unlicense": 1.0, "wtfpl": 1.0, "zlib": 1.0, "bsl": 1.0, "ncsa": 1.0, "x11": 1.0, "postgresql": 1.0,
+    "mit-0": 1.0, "python": 0.9, "psf": 0.9, "artistic": 0.8, "ofl": 0.8, "openssl": 0.8, "cc-by": 0.9, "mpl": 0.7, "epl": 0.7, "cddl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.6, "eupl": 0.5, "gfdl": 0.5,
+    "gpl": 0.4, "osl": 0.4, "agpl": 0.3, "sspl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "cc-by-nc-sa": 0.1, "cc-by-nc-nd": 0.1, "all-rights-reserved": 0.0,
 }
+#: Identifiers that are none of these but look like one: with a version, or of one's own.
+UNLISTED = re.compile(r"[a-z][a-z0-9.]*(-[a-z0-9.]+)*-\d[a-z0-9.]*(-[a-z0-9.]+)*\+?|(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
 RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -47,11 +52,18 @@ def short(identifier: str) -> str:
     return "apache-2" if name == "apache" else name
 
 
-def evaluate(text: str) -> tuple[list[str], float] | None:
-    """(labels, freedom) of the licence expression that text begins with; None if there is none.
+def identifier(token: str) -> str | None:
+    """The label of a licence identifier; None of a word that is none."""
+    label = short(token.rstrip("."))
+    return label if label in FREEDOM or UNLISTED.fullmatch(token.rstrip(".")) else None
+
+
+def evaluate(text: str, at: int = 0) -> tuple[list[str], float] | None:
+    """(labels, freedom) of the licence expression that stands at a place of text; None if there is none.
 
     Two stacks: operands, and operators by rank (with, and, or). `or` takes the freer side's freedom, `and` the less free one's, and an exception after
-    `with` leaves its licence's. The expression ends where the next token cannot go on; an unknown identifier has freedom 0.5.
+    `with` leaves its licence's. The expression ends with its line or where the next token cannot go on; operators and parentheses that are left open
+    at its end are dropped. An unlisted identifier has freedom 0.5.
     """
     values: list[tuple[list[str], float]] = []
     operators: list[str] = []
@@ -63,21 +75,25 @@ def evaluate(text: str) -> tuple[list[str], float] | None:
         else:
             values.append((left[0] + right[0], (max if op == "or" else min)(left[1], right[1])))
 
-    operand, end = True, 0
-    for m in TOKEN.finditer(text):
-        token, gap = m.group().lower(), text[end : m.start()]
-        if gap.strip(" \t") or (end == 0 and gap.strip()):
+    operand, end, opened = True, at, 0
+    for m in TOKEN.finditer(text, at):
+        token = m.group().lower()
+        if text[end : m.start()].strip(" \t"):
             break
         if operand and token == "(":
             operators.append("(")
-        elif operand and token not in RANK and token != ")":
-            label = short(token.rstrip("."))
+            opened += 1
+        elif operand and operators and operators[-1] == "with" and token not in RANK and token != ")":
+            values.append(([token], 0.0))  # an exception
+            operand = False
+        elif operand and (label := identifier(token)) is not None:
             values.append(([label], FREEDOM.get(label, 0.5)))
             operand = False
-        elif not operand and token == ")" and "(" in operators:
+        elif not operand and token == ")" and opened:
             while operators[-1] != "(":
                 apply()
             operators.pop()
+            opened -= 1
         elif not operand and token in RANK:
             while operators and operators[-1] != "(" and RANK[operators[-1]] >= RANK[token]:
                 apply()
@@ -86,8 +102,8 @@ def evaluate(text: str) -> tuple[list[str], float] | None:
         else:
             break
         end = m.end()
-    if operand and operators and operators[-1] != "(":
-        operators.pop()
+    while operand and operators:  # what stands after the last operand: parentheses, then one operator
+        operand = operators.pop() == "("
     while operators:
         if operators[-1] == "(":
             operators.pop()
@@ -127,14 +143,18 @@ def scan(text: str) -> dict:
             if kind == "base":
                 base.add(label)
                 places.append(start)
+    starts = list(accumulate(map(len, words), lambda at, size: at + size + 1, initial=0))  # of the words in `line`, one place earlier
     if tags:
         ends = [m.end() for m in WORD.finditer(low)]
         for end in tags:
-            result = evaluate(text[ends[line.count(" ", 0, end) - 1] :].lstrip(":").replace("\n", " \n", 1).split("\n")[0])
+            at = ends[bisect_left(starts, end) - 1]
+            while low[at : at + 1] == ":":
+                at += 1
+            result = evaluate(text, at)
             if result:
                 labels.update(result[0])
                 freedoms.append(result[1])
-    at = [line.count(" ", 0, p) for p in (min(places), max(places))] if places else [None, None]
+    at = [bisect_left(starts, p) for p in (min(places), max(places))] if places else [None, None]
     return {
         "n_words": len(words), "n_base": len(places), "first_word": at[0], "last_word": at[1],
         "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": min(freedoms) if freedoms else 0.5,
