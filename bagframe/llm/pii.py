@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Fixed patterns. Runs are possessive and start where they can begin, so long runs cost no more than their length.
+#: Fixed patterns. Runs are possessive and start where they can begin, so long runs cost no more than their length, and no stack.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -33,8 +33,8 @@ def _sql(text: str) -> str:
 
 
 def feistel(a: str, b: str, ma: str, mb: str, key: str, tweak: str) -> str:
-    """SQL of struct(a, b): the permuted halves, a below ma and b below mb. An even number of rounds."""
-    draw = f"cast(conv(substring(sha2(concat_ws(':', {_sql(key)}, {_sql(tweak)}, {ma}, {mb}, r, s.b), 256), 1, 15), 16, 10) as bigint)"
+    """SQL of struct(a, b): the permuted halves, a below ma and b below mb. An even number of rounds. key, here and below: SQL of the key."""
+    draw = f"cast(conv(substring(sha2(concat_ws(':', {key}, {_sql(tweak)}, {ma}, {mb}, r, s.b), 256), 1, 15), 16, 10) as bigint)"
     turn = f"named_struct('a', s.b, 'b', pmod(s.a + {draw}, if(r % 2 = 0, cast({ma} as bigint), cast({mb} as bigint))))"
     return f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('a', cast({a} as bigint), 'b', cast({b} as bigint)), (s, r) -> {turn})"
 
@@ -92,7 +92,7 @@ def within(m: str, key: str) -> str:
 def pseudonym(m: str, key: str, kinds=tuple(PATTERNS)) -> str:
     """SQL of the pseudonym of a string matched by one of the patterns of these kinds."""
     full = {k: f"{m} rlike {_sql('^(?:' + v + ')$')}" for k, v in PATTERNS.items()}
-    email = f"concat('u', substring(sha2(concat({_sql(key)}, ':mail:', lower({m})), 256), 1, 16), '@mail.invalid')"
+    email = f"concat('u', substring(sha2(concat({key}, ':mail:', lower({m})), 256), 1, 16), '@mail.invalid')"
     o = "cast(o[{}] as bigint)".format
     ip_out = "concat_ws('.', p.a div 256, p.a % 256, p.b div 256, p.b % 256)"
     ip = _let("o", f"split({m}, '[.]')", f"if(exists(o, x -> cast(x as int) > 255), {m}, {_let('p', feistel(f'{o(0)} * 256 + {o(1)}', f'{o(2)} * 256 + {o(3)}', '65536', '65536', key, 'ip'), ip_out)})")
@@ -109,7 +109,8 @@ def pseudonym(m: str, key: str, kinds=tuple(PATTERNS)) -> str:
     return "case " + " ".join(f"when {full[k]} then {cases[k]}" for k in kinds) + f" else {m} end"
 
 
-KEY = "spark.bagframe.pseudonyms.key"
+#: Spark leaves values of properties named so out of its event log and environment page.
+KEY = "spark.bagframe.pseudonyms.secret"
 
 
 def session_key(spark: SparkSession) -> str:
@@ -124,17 +125,19 @@ def session_key(spark: SparkSession) -> str:
 def pseudonymised(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """docs with personal values of the text column replaced and `n_private`, how many were found; key: a secret of the caller's, else the session's.
 
-    Null and empty texts stay as they are (0 found). Rows are handled alone: repeated rows stay, an empty table stays empty, and columns other than
-    the text, n_private and __found (which is taken) are left alone.
+    The key comes into the plan as a scalar subquery over a table of one row, so no plan prints it. Null and empty texts stay as they are (0 found). Rows
+    are handled alone: repeated rows stay, an empty table stays empty, and columns other than the text, n_private, __found and __key (which are taken)
+    are left alone.
     """
-    key = key or session_key(docs.sparkSession)
+    spark = docs.sparkSession
+    secret = spark.createDataFrame([(key or session_key(spark),)], "secret string")
     any_of = "|".join(PATTERNS.values())
     t = f"cast(`{text_col}` as string)"
     plan = f"if({t} rlike {_sql(any_of)}, regexp_extract_all({t}, {_sql('(' + any_of + ')')}, 1), cast(array() as array<string>))"
-    out = docs.withColumn("__found", F.expr(plan)).withColumn("n_private", F.expr("size(__found)"))
-    swapped = f"transform(__found, m -> {pseudonym('m', key)})"
+    out = docs.withColumn("__key", secret.scalar()).withColumn("__found", F.expr(plan)).withColumn("n_private", F.expr("size(__found)"))
+    swapped = f"transform(__found, m -> {pseudonym('m', '__key')})"
     joined = f"array_join(zip_with(split({t}, {_sql(any_of)}, -1), {swapped}, (x, y) -> concat(x, coalesce(y, ''))), '')"
-    return out.withColumn(text_col, F.expr(f"if(n_private = 0, {t}, {joined})")).drop("__found")
+    return out.withColumn(text_col, F.expr(f"if(n_private = 0, {t}, {joined})")).drop("__found", "__key")
 
 
 def op4_pseudonyms(spark, sf_dir: str) -> DataFrame:
