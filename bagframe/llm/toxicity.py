@@ -43,17 +43,19 @@ def _moved(f, times: int):
     return mix(f * STEPS[3] + np.uint64(times)) >> np.uint64(64 - BITS)
 
 
-def text_features(column, wanted=None):
+def stems_wanted(wanted: np.ndarray) -> np.ndarray:
+    """The numbers of stems' features that are wanted, or whose number for a second or third time is."""
+    every = np.arange(1 << BITS, dtype=np.uint64)
+    return wanted | np.any([wanted[_moved(every, times)] for times in range(1, MOST_TIMES)], axis=0)
+
+
+def text_features(column, wanted=None, first=None):
     """For each text, its distinct feature numbers: words, pairs of neighbours, pairs with one word between; the same of stems, each with a number more
     for the second and for the third time it stands there (inflected words share a stem, and one stem by chance is weaker than three).
 
-    wanted: 2**BITS booleans; other numbers may be left out.
+    wanted: 2**BITS booleans; other numbers may be left out. first: stems_wanted() of them.
     """
     mask = np.uint64((1 << BITS) - 1)
-    first = wanted
-    if wanted is not None:
-        every = np.arange(1 << BITS, dtype=np.uint64)
-        first = wanted | np.any([wanted[_moved(every, times)] for times in range(1, MOST_TIMES)], axis=0)
     for _, data, offs in blocks(column):
         h, doc, _, _ = words(data, offs, NOT_ALNUM)
         keys = [_numbered(h, doc, wanted)]
@@ -109,6 +111,10 @@ def ftrl(rows: list, labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, e
     return found, w[found], float(w[-1])
 
 
+#: The model of no labelled row: every score is 0.1.
+NOTHING = (np.zeros(0, np.int64), np.zeros(0), float(np.log(0.1 / 0.9)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", most: int = MOST_LABELLED):
     """The model of ftrl() from at most `most` labelled rows: the first by a hash of their id. Rows without id or label are left out."""
     order = F.xxhash64(F.lit("order"), "id")
@@ -127,11 +133,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     for r in rows.toLocalIterator():  # `most` rows, part by part
         held.append(bytes(r["x"]))
         marks.append(r["y"])
-    return ftrl(held, np.array(marks, float))
+    return ftrl(held, np.array(marks, float)) if held else NOTHING
 
 
 def scored(docs: DataFrame, model, id_col="doc_id", text_col="text", threshold: float = 0.3) -> DataFrame:
-    """docs with score (0 to 1) and predicted (score >= threshold; 0 by a model that had no row to learn from). Null and empty texts have the bias's score; other columns stay as they are."""
+    """docs with score (0 to 1) and predicted (score >= threshold). Null and empty texts have the bias's score; other columns stay as they are."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
@@ -143,13 +149,13 @@ def scored(docs: DataFrame, model, id_col="doc_id", text_col="text", threshold:
         dense = np.zeros(1 << BITS)
         dense[found] = weights
         wanted = dense != 0
+        first = stems_wanted(wanted)
         for batch in batches:
-            values = [sigmoid(bias + dense[x].sum()) for x in text_features(batch.column(place), wanted)]
+            values = [sigmoid(bias + dense[x].sum()) for x in text_features(batch.column(place), wanted, first)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*names, "score"])
 
     schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
-    learned = len(model[0]) > 0 or model[2] != 0
-    return kept.mapInArrow(score, schema).withColumn("predicted", ((F.col("score") >= threshold) & F.lit(learned)).cast("int"))
+    return kept.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def held_out(id_col: str = "doc_id"):
