@@ -6,13 +6,14 @@ use. Postings are intersected per text, and the regex runs on the candidates. Ru
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as sre_parser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import sized, written
 
 #: (kind, regex, group whose length counts, its least length); the first three are fixed.
 RULES = [
@@ -27,6 +28,8 @@ RULES = [
 BASE = ("assign", "access", "hex")
 #: Strings that an alternative set may have before it is cut into trigrams.
 MOST_EXACT = 32
+#: Matches that are placed together.
+CHUNK = 64
 
 
 def _and(*queries):
@@ -101,17 +104,25 @@ def candidates(texts: DataFrame, rules=RULES) -> DataFrame:
 
 
 def spans_of(kind: str, regex: str, group: int, least: int) -> str:
-    """SQL of the array of struct(start, end, rank, kind) of a rule's matches in `text`, in code points."""
+    """SQL of the array of struct(start, end, rank, kind) of a rule's matches in `text`, in code points.
+
+    Matches and the texts between them are taken CHUNK at a time, so the work grows with their number: chunks are added up first, then each one's
+    matches are placed from its start on.
+    """
     rank = [r[0] for r in RULES].index(kind)
+    if group == 0 and (run := re.fullmatch(r"(\w*)\[[^]]+\]\+", regex)):  # runs of a class: shorter ones need not be looked at
+        regex = regex[:-1] + "{" + str(max(1, least - len(run[1]))) + ",}"
     pattern = _sql(f"({regex})" if group == 0 else regex)
     whole = f"regexp_extract_all(text, {_sql('(' + regex + ')')}, 1)"
     size = "length(m)" if group == 0 else f"length(regexp_extract(m, {pattern}, {group}))"
-    put = f"named_struct('start', s.at + length(g), 'end', s.at + length(g) + length(m), 'rank', {rank}, 'kind', {_sql(kind)})"
-    step = f"transform(array(named_struct('g', p.g, 'm', p.m)), x -> named_struct('at', s.at + length(x.g) + length(x.m), 'found', if(x.ok, concat(s.found, array({put})), s.found)))[0]"
-    step = step.replace("named_struct('g', p.g, 'm', p.m)", "p").replace("length(g)", "length(x.g)").replace("length(m)", "length(x.m)")
-    pairs = f"zip_with(split(text, {_sql(regex)}, -1), {whole}, (g, m) -> named_struct('g', g, 'm', coalesce(m, ''), 'ok', coalesce({size}, 0) >= {least} and m is not null))"
+    pairs = f"zip_with(split(text, {_sql(regex)}, -1), {whole}, (g, m) -> named_struct('gap', length(g), 'size', length(coalesce(m, '')), 'ok', coalesce({size}, 0) >= {least} and m is not null))"
+    put = f"named_struct('start', s.at + x.gap, 'end', s.at + x.gap + x.size, 'rank', {rank}, 'kind', {_sql(kind)})"
+    step = f"named_struct('at', s.at + x.gap + x.size, 'found', if(x.ok, concat(s.found, array({put})), s.found))"
     none = "cast(array() as array<struct<start:int,end:int,rank:int,kind:string>>)"
-    return f"aggregate({pairs}, named_struct('at', 0, 'found', {none}), (s, p) -> {step}, s -> s.found)"
+    chunks = f"transform(sequence(0, (size(p) - 1) div {CHUNK}), i -> slice(p, i * {CHUNK} + 1, {CHUNK}))"
+    firsts = "aggregate(c, array(0), (s, part) -> concat(s, array(element_at(s, -1) + aggregate(part, 0, (t, x) -> t + x.gap + x.size))))"
+    placed = f"flatten(zip_with(c, slice(f, 1, size(c)), (part, at) -> aggregate(part, named_struct('at', at, 'found', {none}), (s, x) -> {step}, s -> s.found)))"
+    return f"transform(array({pairs}), p -> transform(array({chunks}), c -> transform(array({firsts}), f -> {placed})[0])[0])[0]"
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
@@ -122,7 +133,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     """
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
     hits = candidates(rows.select("digest", "text"), rules)
-    joined = rows.join(hits, "digest", "left")
+    joined = rows.join(sized(written(hits, "candidates")), "digest", "left")
     none = "cast(array() as array<struct<start:int,end:int,rank:int,kind:string>>)"
     parts = []
     for kind, regex, group, least in rules:
