@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +18,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .tokens import CACHE, Encoder, groups, vocabulary
+from .tokens import Encoder, groups, vocabulary
 
 #: Most rows of the pair counts (24 bytes each) that are broadcast; beyond it the join shuffles.
 BROADCAST_PAIRS = 500_000
-#: Most windows that a worker remembers (about 500 bytes each).
-WINDOWS = 400_000
+#: Most words of either tokenizer (about 200 bytes each) and windows (300) that a worker remembers.
+WORDS, WINDOWS = 250_000, 200_000
 
 
 class PlainEncoder(Encoder):
     """Ids in which the literals of added tokens are plain text, with the bytes of each token."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, size: int = WORDS):
+        super().__init__(path, size)
         self.tokenizer.encode_special_tokens = True
         self.contents, self.whole = [], False
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,7 +49,7 @@ class Pieces:
     """Ids by a sentencepiece model that puts a space before the text. Pieces have spaces at their start only, so a text with single spaces between words
     is encoded word by word, and words seen before are not encoded again."""
 
-    def __init__(self, path: str, size: int = CACHE):
+    def __init__(self, path: str, size: int = WORDS):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -65,6 +65,22 @@ class Pieces:
     def split(self, text: str) -> list[str]:
         return text.split(" ") if self.apart and "  " not in text and text[0] != " " and text[-1] != " " else [text]
 
+    def learn(self, new: list[str]) -> None:
+        """Encodes parts, and compares their tokens' bytes: many parts at a time, and one by one only where these differ."""
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            coded = self.model.encode(some, num_threads=1)
+            ids = np.fromiter(chain.from_iterable(coded), "<u4")
+            wanted = [b" " + part.encode() for part in some]
+            ends = np.cumsum([len(x) for x in coded])
+            reached = np.cumsum(self.sizes[ids])[ends - 1] if len(ids) and ends[0] and np.diff(ends).all() else np.zeros(len(some))
+            same = b"".join(map(self.bytes.__getitem__, ids.tolist())) == b"".join(wanted) and (reached == np.cumsum([len(x) for x in wanted])).all()
+            blob, first = ids.tobytes(), 0
+            for part, want, end in zip(some, wanted, (4 * ends).tolist()):
+                right = same or b"".join([self.bytes[i] for i in ids[first // 4 : end // 4]]) == want
+                self.known[part] = blob[first:end] if right else None
+                first = end
+
     def encode(self, texts: list[str]) -> list[bytes | None]:
         """The ids of each text as bytes; None where their tokens' bytes are not a space and the text."""
         if len(self.known) > self.size:
@@ -74,11 +90,7 @@ class Pieces:
         for x in split:
             new.update(x)
         new.difference_update(self.known)
-        for at in range(0, len(new), 20_000):
-            some = list(new)[at : at + 20_000]
-            for part, ids in zip(some, self.model.encode(some, num_threads=1)):
-                same = b"".join([self.bytes[i] for i in ids]) == b" " + part.encode()
-                self.known[part] = np.array(ids, "<u4").tobytes() if same else None
+        self.learn(list(new))
         found = [[self.known[p] for p in x] for x in split]
         return [None if None in x else b"".join(x) for x in found]
 
@@ -88,50 +100,53 @@ def encoders(name_a: str, name_b: str) -> tuple[PlainEncoder, Pieces]:
     return PlainEncoder(vocabulary(name_a)), Pieces(vocabulary(name_b))
 
 
-def aligned(a: list[int], b: list[int], sizes_a, sizes_b) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """The groups of a window, (ids of A, ids of B) between shared ends, and its links, all (id of A, id of B) whose bytes overlap."""
-    out, links = [([], [])], []
-    i = j = start_a = start_b = 0
-    while i < len(a):
-        end_a, end_b = start_a + sizes_a[a[i]], start_b + sizes_b[b[j]]
-        links.append((a[i], b[j]))
-        if end_a <= end_b:
-            out[-1][0].append(a[i])
-        if end_b <= end_a:
-            out[-1][1].append(b[j])
-        i, j = i + (end_a <= end_b), j + (end_b <= end_a)
-        if end_a == end_b:
-            out.append(([], []))
-        start_a, start_b = (end_a if end_a <= end_b else start_a), (end_b if end_b <= end_a else start_b)
-    return out[:-1], links
-
-
 class Memory:
-    """Alignments of windows by their id tuples: numbers of groups, the groups as text, and links as numbers of id pairs."""
+    """Alignments of windows by their id tuples: numbers of groups, the groups as text, and links as numbers of id pairs (of window w: those at
+    links[at[w] : at[w + 1]])."""
 
     def __init__(self, a: PlainEncoder, b: Pieces):
-        self.sizes = a.sizes.tolist(), b.sizes.tolist()
+        self.a, self.b = a, b
+        self.names = [str(i) for i in range(max(len(a.bytes), len(b.bytes)))]
         self.number: dict[bytes, int] = {}
-        self.n_groups: list[int] = []
         self.text: list[str] = []
-        self.links: list[np.ndarray] = []
-        self.pair_number: dict[tuple[int, int], int] = {}
-        self.pair_values = np.zeros(0, np.int64)
-
-    def window(self, key: bytes, a: bytes, b: bytes) -> int:
-        ids = np.frombuffer(a, "<u4").tolist(), np.frombuffer(b, "<u4").tolist()
-        found, links = aligned(*ids, *self.sizes)
-        self.n_groups.append(len(found))
-        self.text.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found))
-        self.links.append(np.array([self.pair_number.setdefault(p, len(self.pair_number)) for p in links], np.int64))
-        self.number[key] = len(self.n_groups) - 1
-        return len(self.n_groups) - 1
-
-    def pairs(self) -> np.ndarray:
-        """The id pairs by number: A's id in the upper half, B's in the lower."""
-        new = islice(self.pair_number, len(self.pair_values), None)
-        self.pair_values = np.concatenate([self.pair_values, np.array([(a << 32) | b for a, b in new], np.int64)])
-        return self.pair_values
+        self.n_groups, self.links, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.pair_number: dict[int, int] = {}
+        #: Id pairs by number: A's id in the upper half, B's in the lower.
+        self.pairs = np.zeros(0, np.int64)
+
+    def learn(self, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray) -> None:
+        """Aligns new windows, one after another in both arrays of ids; n_a: tokens of A of each.
+
+        Every byte where a token of either ends closes a link, of the tokens that hold it; where tokens of both end it closes a group, too.
+        """
+        end_a, end_b = np.cumsum(self.a.sizes[ids_a]), np.cumsum(self.b.sizes[ids_b])
+        window_end = end_a[np.cumsum(n_a) - 1]
+        either = np.union1d(end_a, end_b)
+        pairs, which = np.unique((ids_a[np.searchsorted(end_a, either)] << 32) | ids_b[np.searchsorted(end_b, either)], return_inverse=True)
+        numbers = [self.pair_number.setdefault(p, len(self.pair_number)) for p in pairs.tolist()]
+        fresh = np.array(numbers) >= len(self.pairs)
+        self.pairs = np.concatenate([self.pairs, pairs[fresh]])
+        self.links = np.concatenate([self.links, np.array(numbers, np.int64)[which]])
+        self.at = np.concatenate([self.at, self.at[-1] + np.searchsorted(either, window_end, "right")])
+        both = np.intersect1d(end_a, end_b)
+        last = np.searchsorted(both, window_end, "right")
+        self.n_groups = np.concatenate([self.n_groups, np.diff(last, prepend=0)])
+        to_a, to_b = (np.searchsorted(end_a, both) + 1).tolist(), (np.searchsorted(end_b, both) + 1).tolist()
+        name = self.names.__getitem__
+        of_a, of_b = list(map(name, ids_a.tolist())), list(map(name, ids_b.tolist()))
+        parts, x, y = [], 0, 0
+        for p, q in zip(to_a, to_b):
+            parts.append(f"{of_a[x]}|{of_b[y]}" if p == x + 1 and q == y + 1 else f"{','.join(of_a[x:p])}|{','.join(of_b[y:q])}")
+            x, y = p, q
+        first = 0
+        for end in last.tolist():
+            self.text.append(";".join(parts[first:end]))
+            first = end
+
+    def linked(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of windows, one after another, and how many each has."""
+        first, n = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
+        return self.links[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], n
 
 
 _remembered: dict[tuple[str, str], Memory] = {}
@@ -170,24 +185,34 @@ def _aligned_texts(names: tuple[str, str]):
         n_a, n_b = np.array([len(ids_a[k]) // 4 for k in used]), np.array([len(ids_b[k]) // 4 for k in used])
         ends = np.cumsum([len(texts[k].encode()) + 1 for k in used])
         to_a, to_b = windows(of_a, of_b, ends, a, b)
-        numbers, get, x0, y0 = [], memory.number.get, 0, 0
+        numbers, known, new, x0, y0 = [], memory.number, [], 0, 0
         for x, y in zip((4 * to_a).tolist(), (4 * to_b).tolist()):
-            left, right = all_a[x0:x], all_b[y0:y]
-            key = left + _MARK + right
-            n = get(key)
-            numbers.append(memory.window(key, left, right) if n is None else n)
+            key = all_a[x0:x] + _MARK + all_b[y0:y]
+            n = known.setdefault(key, len(known))
+            if n == len(memory.text) + len(new):
+                new.append((x0, x, y0, y))
+            numbers.append(n)
             x0, y0 = x, y
+        if new:
+            new_a, new_b = b"".join([all_a[x0:x] for x0, x, _, _ in new]), b"".join([all_b[y0:y] for _, _, y0, y in new])
+            memory.learn(np.frombuffer(new_a, "<u4").astype(np.int64), np.frombuffer(new_b, "<u4").astype(np.int64), np.array([(x - x0) // 4 for x0, x, _, _ in new]))
+        text = list(map(memory.text.__getitem__, numbers))
         numbers = np.array(numbers)
         cut = np.searchsorted(to_a, np.cumsum(n_a)) + 1
         first = np.concatenate([[0], cut[:-1]])
-        text, links = memory.text, memory.links
-        pair_of = memory.pairs()
-        for k, p, q, na, nb in zip(used, first.tolist(), cut.tolist(), n_a.tolist(), n_b.tolist()):
-            own = numbers[p:q].tolist()
-            digest = hashlib.sha256(";".join([text[w] for w in own]).encode()).hexdigest()
-            linked = np.concatenate([links[w] for w in own])
-            pairs, times = np.unique(linked, return_counts=True)
-            out[k] = (na, nb, sum([memory.n_groups[w] for w in own]), len(linked), digest, pair_of[pairs], times)
+        links, n = memory.linked(numbers)
+        link_cut = np.cumsum(n)[cut - 1]
+        n_links = np.diff(link_cut, prepend=0)
+        n_groups = np.add.reduceat(memory.n_groups[numbers], first)
+        # Each text's id pairs: numbers below 2**40 behind the text's place.
+        found, times = np.unique((np.repeat(np.arange(len(used)), n_links) << 40) | links, return_counts=True)
+        pair_cut = np.searchsorted(found, np.arange(1, len(used) + 1) << 40)
+        pairs = memory.pairs[found & ((1 << 40) - 1)]
+        p = q = 0
+        for k, to, to_pair, *counted in zip(used, cut.tolist(), pair_cut.tolist(), n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist()):
+            digest = hashlib.sha256(";".join(text[p:to]).encode()).hexdigest()
+            out[k] = (*counted, digest, pairs[q:to_pair], times[q:to_pair])
+            p, q = to, to_pair
         return out
 
     return align
