@@ -1,10 +1,12 @@
 """Reworking bags: distilled, recalibrated, padded and joined instances, and relations between instances."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_order
 from ..functions.vectors import vec_l2
+from . import blocks
 from .pooling import mean_pool, pseudo_bags
 from .select import topk_instances
 
@@ -68,11 +70,9 @@ def patient_bags(inst: DataFrame, slides: DataFrame) -> DataFrame:
 
 
 def cross_bag_nearest(inst: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(bag_id, idx, partner, nearest): the nearest instance of the paired bag, the first of equally near ones."""
-    other = inst.select(F.col("bag_id").alias("partner"), F.col("idx").alias("nearest"), F.col("feat").alias("b"))
-    near = inst.select("bag_id", "idx", F.col("feat").alias("a")).join(pairs, "bag_id").join(other, "partner")
-    best = F.min(F.struct(F.round(vec_l2(F.col("a"), F.col("b")), 9).alias("d"), "nearest"))
-    return near.groupBy("bag_id", "idx", "partner").agg(best.alias("m")).select("bag_id", "idx", "partner", "m.nearest")
+    """(bag_id, idx, partner, nearest): the nearest instance of the paired bag, the first of equally near ones. Pairs of unknown bags have no rows."""
+    near = blocks.nearest(inst, inst, 1, pairs)
+    return near.select("bag_id", F.col("src").alias("idx"), "partner", F.col("dst").alias("nearest"))
 
 
 def spatial_bias(inst: DataFrame, radius: int) -> DataFrame:
@@ -87,17 +87,27 @@ def spatial_bias(inst: DataFrame, radius: int) -> DataFrame:
     return near.select("bag_id", "src", "dst", (-F.floor(F.sqrt("d2"))).cast("long").alias("bias"))
 
 
-#: Centres that soft_assign takes.
+#: Most centres that all go to every task; more meet the instances in blocks.
 MOST_CENTRES = 4096
 
 
-def soft_assign(inst: DataFrame, centres: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """(bag_id, idx, k, w): Student-t membership of the centres (k, centre): MOST_CENTRES at most, as all of them go to every task."""
-    if centres.count() > MOST_CENTRES:
-        raise ValueError(f"more than {MOST_CENTRES} centres")
-    d2 = F.pow(vec_l2(F.col("feat"), F.col("centre")), 2)
-    raw = F.pow(1 + d2 / alpha, F.lit(-(alpha + 1) / 2))
-    near = inst.join(F.broadcast(centres)).select("bag_id", "idx", "k", raw.alias("raw"))
+def soft_assign(inst: DataFrame, centres: DataFrame, alpha: float = 1.0, most: int = MOST_CENTRES) -> DataFrame:
+    """(bag_id, idx, k, w): Student-t membership of the centres (k, centre)."""
+    if centres.limit(most + 1).count() <= most:
+        d2 = F.pow(vec_l2(F.col("feat"), F.col("centre")), 2)
+        near = inst.join(F.broadcast(centres)).select("bag_id", "idx", "k", F.pow(1 + d2 / alpha, F.lit(-(alpha + 1) / 2)).alias("raw"))
+    else:
+        of_bag = inst.schema["bag_id"].dataType
+        partner = F.lit(0).cast(of_bag)
+        own = blocks.blocked(inst)
+        pairs = own.select("bag_id", partner.alias("partner")).distinct()
+        other = blocks.blocked(centres.select(partner.alias("bag_id"), F.col("k").alias("idx"), F.col("centre").alias("feat")))
+
+        def kernel(idx, a, idx_b, b):
+            raw = (1 + blocks._distances(a, b) ** 2 / alpha) ** (-(alpha + 1) / 2)
+            return idx.repeat(len(idx_b)), np.tile(idx_b, len(idx)), raw.ravel()
+
+        near = blocks.per_pair(blocks.block_pairs(own, other, pairs), kernel, "idx long, k long, raw double").drop("partner")
     return near.withColumn("w", F.col("raw") / F.sum("raw").over(Window.partitionBy("bag_id", "idx"))).drop("raw")
 
 

@@ -5,16 +5,13 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import hash_order
 from ..functions.vectors import elementwise, vec_cosine, vec_dot
+from .blocks import most_alike
 
 
 def affinity_graph(inst: DataFrame, k: int, dim: int) -> DataFrame:
     """(bag_id, src, dst, w): the k instances (itself too) of the highest feat . feat / sqrt(dim), softmax over these; of equal ones the lowest idx."""
-    a = inst.select("bag_id", F.col("idx").alias("src"), F.col("feat").alias("a"))
-    b = inst.select("bag_id", F.col("idx").alias("dst"), F.col("feat").alias("b"))
-    s = F.round(vec_dot(F.col("a"), F.col("b")) / F.lit(dim**0.5), 9)
-    near = a.join(b, "bag_id").select("bag_id", "src", "dst", s.alias("s"))
     own = Window.partitionBy("bag_id", "src")
-    top = near.withColumn("r", F.row_number().over(own.orderBy(F.desc("s"), "dst"))).filter(F.col("r") <= k)
+    top = most_alike(inst, k, dim)
     e = F.exp(F.col("s") - F.max("s").over(own))
     return top.withColumn("e", e).select("bag_id", "src", "dst", (F.col("e") / F.sum("e").over(own)).alias("w"))
 

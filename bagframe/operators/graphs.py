@@ -1,19 +1,15 @@
 """Neighbours inside bags and pairs of bags."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_placed, hash_uniform, placed
-from ..functions.vectors import vec_l2
+from .blocks import nearest
 
 
 def knn_graph(inst: DataFrame, k: int = 5) -> DataFrame:
-    """(bag_id, src, dst, dist): the k nearest others of each instance within its bag; the first idx of equally near ones."""
-    a = inst.select("bag_id", F.col("idx").alias("src"), F.col("feat").alias("a"))
-    b = inst.select("bag_id", F.col("idx").alias("dst"), F.col("feat").alias("b"))
-    pairs = a.join(b, "bag_id").filter("src != dst").select("bag_id", "src", "dst", F.round(vec_l2(F.col("a"), F.col("b")), 9).alias("dist"))
-    r = F.row_number().over(Window.partitionBy("bag_id", "src").orderBy("dist", "dst"))
-    return pairs.withColumn("r", r).filter(F.col("r") <= k).drop("r")
+    """(bag_id, src, dst, dist): the k nearest others of each instance within its bag; the first idx of equally near ones. A bag of one has no edges."""
+    return nearest(inst, inst, k).select("bag_id", "src", "dst", "dist")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

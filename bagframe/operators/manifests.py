@@ -87,3 +87,10 @@ def scale_area(df: DataFrame, base: int = 512) -> DataFrame:
     """a_t and a_h times the whole number of base squares in a pixel block of sx by sy."""
     times = F.floor(F.lit(float(base**2)) / (F.col("sx") * F.col("sy"))).cast("long")
     return df.withColumns({c: F.col(c) * times for c in ("a_t", "a_h")})
+
+
+def list_slides(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
+    """(path, stem, length) of all files below root that end in one of the extensions (with their point, in either case). Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    wanted = F.lower(F.concat(F.lit("."), F.regexp_extract("path", r"\.([^./]*)$", 1))).isin([e.lower() for e in extensions])
+    return files.filter(wanted).select("path", path_stem(F.col("path")).alias("stem"), "length")

@@ -108,10 +108,20 @@ def roc_auc_ovo(preds: DataFrame) -> DataFrame:
     return auc_by(own.union(against), "a", "b").agg(F.avg("auc").alias("macro"))
 
 
-def evaluate_all(preds: DataFrame) -> DataFrame:
-    """One row of every metric of predictions (y, yhat, probs): rates, kappas, areas. All parts are one row each."""
-    parts = [prf_scores(preds), roc_auc_ovr(preds).select(*[F.col(c).alias(f"auc_{c}") for c in ("macro", "weighted", "micro")])]
+def evaluate_all(preds: DataFrame, classes: int | None = None) -> DataFrame:
+    """One row of every metric of predictions (y, yhat, probs): rates, kappas, areas, and `confusion`, an array of struct(y, yhat, n) in order.
+
+    With two classes (as `classes` says, or else the length of probs) all three areas are that of class 1's probability. All parts are one row each.
+    """
+    classes = classes or (preds.select(F.max(F.size("probs"))).first()[0] or 0)
+    if classes == 2:
+        auc = auc_by(preds.select(F.col("probs")[1].alias("p"), (F.col("y") == 1).cast("long").alias("hit"), F.lit(1).alias("all")), "all")
+        areas = auc.agg(*[F.max("auc").alias(f"auc_{c}") for c in ("macro", "weighted", "micro")])
+    else:
+        areas = roc_auc_ovr(preds).select(*[F.col(c).alias(f"auc_{c}") for c in ("macro", "weighted", "micro")])
+    parts = [prf_scores(preds), areas]
     parts += [cohen_kappa(preds, k).select(F.col("kappa").alias(n)) for k, n in enumerate(("kappa", "linear_kappa", "quadratic_kappa"))]
+    parts.append(confusion_matrix(preds).agg(F.array_sort(F.collect_list(F.struct("y", "yhat", "n"))).alias("confusion")))  # classes squared
     out = parts[0]
     for part in parts[1:]:
         out = out.crossJoin(F.broadcast(part))

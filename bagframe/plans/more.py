@@ -201,7 +201,7 @@ KAPPAS = ", ".join(f"round({KAPPA.format(w=w)}, 6) AS {n}" for w, n in (("(y <>
  round(sum(f * support) / sum(support), 6) AS weighted_f1, round(sum(r * support) / sum(support), 6) AS accuracy, round(1 - sum(r * support) / sum(support), 6) AS error_rate, round(avg(r), 6) AS balanced_accuracy,
  {KAPPAS}, (SELECT round(macro, 6) FROM ovr1) AS auc_macro, (SELECT round(weighted, 6) FROM ovr1) AS auc_weighted, (SELECT round(micro, 6) FROM mic) AS auc_micro FROM r""")
 def evaluate_all(spark, sf) -> DataFrame:
-    out = metrics.evaluate_all(preds3(spark, sf))
+    out = metrics.evaluate_all(preds3(spark, sf)).drop("confusion")
     return rounded(out, *out.columns)
 
 
