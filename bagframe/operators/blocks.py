@@ -114,22 +114,53 @@ def most_alike(inst: DataFrame, k: int, dim: int, size: int = BLOCK) -> DataFram
     return found.withColumn("r", r).filter(F.col("r") <= k).select("bag_id", "src", "dst", "s")
 
 
-def context_attention(inst: DataFrame, dim: int, size: int = BLOCK) -> DataFrame:
-    """(bag_id, idx, feat): every instance as the mean of its bag's, weighted by the softmax of feat . feat / sqrt(dim).
+def _attended(pairs: DataFrame, dim: int, score: Callable) -> DataFrame:
+    """(bag_id, idx, feat): for each instance the mean of the vectors that it meets, weighted by the softmax of score(a, b).
 
-    A pair of blocks gives each instance the highest score, the sum of the exponentials below it and the sum of the features they weigh; such parts
-    merge in any order, so no bag's n x n scores exist at once. A bag of one keeps its feature; repeated (bag_id, idx) share one row.
+    A pair of blocks gives each instance the highest score, the sum of the exponentials below it and the sum of the vectors they weigh; such parts merge
+    in any order, so no bag's scores exist at once.
     """
 
     def kernel(idx, a, idx_b, b):
-        s = _dots(a, b) / np.sqrt(dim)
+        s = score(a, b)
         top = s.max(axis=1)
         e = np.exp(s - top[:, None])
         return idx, top, e.sum(axis=1), np.einsum("ij,jd->id", e, b)
 
-    blocks = blocked(inst, size)
-    parts = per_pair(block_pairs(blocks, blocks), kernel, "idx long, top double, weight double, feat array<double>")
+    parts = per_pair(pairs, kernel, "idx long, top double, weight double, feat array<double>")
     best = parts.groupBy("bag_id", "idx").agg(F.max("top").alias("best"))
     scaled = parts.join(best, ["bag_id", "idx"]).withColumn("by", F.exp(F.col("top") - F.col("best")))
     whole = F.sum(F.col("weight") * F.col("by"))
     return scaled.groupBy("bag_id", "idx").agg(F.array(*[F.sum(F.col("feat")[i] * F.col("by")) / whole for i in range(dim)]).alias("feat"))
+
+
+def context_attention(inst: DataFrame, dim: int, size: int = BLOCK) -> DataFrame:
+    """(bag_id, idx, feat): every instance as the mean of its bag's, weighted by the softmax of feat . feat / sqrt(dim). A bag of one keeps its feature;
+    repeated (bag_id, idx) share one row."""
+    blocks = blocked(inst, size)
+    return _attended(block_pairs(blocks, blocks), dim, lambda a, b: _dots(a, b) / np.sqrt(dim))
+
+
+def nearest_center_context(inst: DataFrame, centres: DataFrame, dim: int, metric: str = "l2", hard: bool = True, scale: float = 1.0, size: int = BLOCK) -> DataFrame:
+    """(bag_id, idx, feat): each instance with its centre of (k, centre) added: the nearest one, or that with the highest dot product (metric dot; the lowest
+    k of equal ones, by nine digits); with hard off, the centres' mean by the softmax of -distance (or dot product) / scale. No centres: no rows."""
+    of_bag = inst.schema["bag_id"].dataType
+    own = blocked(inst, size)
+    partner = F.lit(0).cast(of_bag)
+    pairs = own.select("bag_id", partner.alias("partner")).distinct()
+    other = blocked(centres.select(partner.alias("bag_id"), F.col("k").alias("idx"), F.col("centre").alias("feat")), size)
+    met = block_pairs(own, other, pairs)
+    score = (lambda a, b: -_distances(a, b)) if metric == "l2" else _dots
+
+    def best(idx, a, idx_b, b):
+        s = np.round(score(a, b), 9)
+        place = np.lexsort((np.broadcast_to(idx_b, s.shape), -s), axis=1)[:, 0]
+        return idx, s[np.arange(len(idx)), place], idx_b[place]
+
+    if hard:
+        found = per_pair(met, best, "idx long, top double, k long").groupBy("bag_id", "idx").agg(F.max(F.struct("top", -F.col("k"))).alias("m"))
+        found = found.select("bag_id", "idx", (-F.col("m.col2")).alias("k")).join(centres, "k").select("bag_id", "idx", F.col("centre").alias("context"))
+    else:
+        found = _attended(met, dim, lambda a, b: score(a, b) / scale).withColumnRenamed("feat", "context")
+    both = inst.select("bag_id", "idx", "feat").join(found, ["bag_id", "idx"])
+    return both.select("bag_id", "idx", F.zip_with("feat", "context", lambda x, c: x.cast("double") + c).alias("feat"))

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_order
-from ..functions.vectors import elementwise, vec_cosine, vec_dot
+from ..functions.vectors import elementwise, vec_cosine, vec_dot, vec_norm
 from .blocks import most_alike
 
 
@@ -113,3 +113,85 @@ def pending_work(proc: DataFrame, done: DataFrame, most_area: float = 1e8) -> Da
     seen = done.select("slide_id").distinct().withColumn("seen", F.lit(True))
     status = F.when(F.col("seen"), "already_exist").when(F.col("level").isNull(), "failed_for_level").when(F.col("area") > most_area, "failed_seg").otherwise("tbp")
     return proc.join(seen, "slide_id", "left").withColumn("status", status).drop("seen")
+
+
+def representatives(inst: DataFrame) -> DataFrame:
+    """(bag_id, cluster, idx, feat): the instance of each cluster with the highest score, the first of equal ones."""
+    best = F.max(F.struct("score", (-F.col("idx")).alias("back"), "feat")).alias("m")
+    return inst.groupBy("bag_id", "cluster").agg(best).select("bag_id", "cluster", (-F.col("m.back")).alias("idx"), "m.feat")
+
+
+def representative_graph(reps: DataFrame) -> DataFrame:
+    """(bag_id, src, dst, similarity): from each cluster's representative (bag_id, cluster, feat) the edge to the other one of the bag with the highest cosine
+    (nine digits; the lowest cluster of equal ones). Bags have few clusters; one alone has no edge."""
+    a = reps.select("bag_id", F.col("cluster").alias("src"), F.col("feat").alias("a"))
+    b = reps.select("bag_id", F.col("cluster").alias("dst"), F.col("feat").alias("b"))
+    met = a.join(b, "bag_id").filter("src != dst").select("bag_id", "src", "dst", F.round(vec_cosine(F.col("a"), F.col("b")), 9).alias("s"))
+    return met.groupBy("bag_id", "src").agg(F.max(F.struct("s", (-F.col("dst")).alias("back"))).alias("m")).select("bag_id", "src", (-F.col("m.back")).alias("dst"), F.col("m.s").alias("similarity"))
+
+
+def zero_shot_logits(prompts: DataFrame, inst: DataFrame, dim: int) -> DataFrame:
+    """inst with logits: the dot products of its normalised feature and each class's vector, in the order of class.
+
+    A class's vector is the mean of the normalised vectors of its prompts (class, feat), normalised again. Zero vectors stay zero. The classes' vectors
+    are one row that every task gets; prompts are added up by class first.
+    """
+    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.nullif(vec_norm(v), F.lit(0.0)))
+    whole = lambda v: F.transform(unit(v), lambda x: F.coalesce(x, F.lit(0.0)))
+    means = prompts.select("class", whole(F.col("feat")).alias("feat")).groupBy("class").agg(elementwise(F.avg, "feat", dim).alias("feat"))
+    row = means.select("class", whole(F.col("feat")).alias("feat")).agg(F.array_sort(F.collect_list(F.struct("class", "feat"))).alias("__classes"))
+    scored = inst.crossJoin(F.broadcast(row)).withColumn("__unit", whole(F.col("feat")))  # one row
+    return scored.withColumn("logits", F.transform("__classes", lambda c: vec_dot(F.col("__unit"), c["feat"]))).drop("__classes", "__unit")
+
+
+def override_params(proc: DataFrame, defaults: dict, preset: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """proc (slide_id and more) with a column for each default: the slide's value of `rows` (slide_id, ...), else the preset's (its first row), else the
+    default's. Nulls and empty strings do not count; values are cast to the default's type; unknown columns are ignored. Of several rows of
+    a slide the greatest counts."""
+    kinds = {bool: "boolean", int: "int", float: "double", str: "string"}
+    out, layers = proc, []
+    names = list(defaults)
+    if rows is not None:
+        own = [c for c in names if c in rows.columns]
+        one = rows.groupBy("slide_id").agg(F.max(F.struct(*own)).alias("__row")) if own else None
+        if one is not None:
+            out, layers = out.join(one, "slide_id", "left"), [("__row", own)]
+    if preset is not None:
+        own = [c for c in names if c in preset.columns]
+        if own:
+            out = out.crossJoin(F.broadcast(preset.limit(1).select(F.struct(*own).alias("__preset"))))  # one row
+            layers.append(("__preset", own))
+    for name, value in defaults.items():
+        kind = kinds[type(value)]
+        given = [F.nullif(F.col(f"{at}.{name}").cast("string"), F.lit("")).cast(kind) for at, own in layers if name in own]
+        out = out.withColumn(name, F.coalesce(*given, F.lit(value).cast(kind)))
+    return out.drop("__row", "__preset")
+
+
+def drop_blank_patches(inst: DataFrame, sat_t: float = 5, rgb_t: float = 40) -> DataFrame:
+    """Patches (sat, r, g, b: means) that are neither white (saturation below sat_t) nor black (all three below rgb_t). Those without a mean go."""
+    return inst.filter((F.col("sat") >= sat_t) & ~((F.col("r") < rgb_t) & (F.col("g") < rgb_t) & (F.col("b") < rgb_t)))
+
+
+def drop_blank_pixels(inst: DataFrame, dark: int = 20, dark_share: float = 0.05, bright: int = 220, bright_share: float = 0.2) -> DataFrame:
+    """Patches whose pixels (an array of struct r, g, b) are dark in all colours in no more than dark_share of places and bright in no more than bright_share.
+    A patch without pixels stays."""
+    share = lambda test: F.size(F.filter("pixels", test))
+    black = share(lambda p: (p["r"] < dark) & (p["g"] < dark) & (p["b"] < dark)) > F.size("pixels") * dark_share
+    white = share(lambda p: (p["r"] > bright) & (p["g"] > bright) & (p["b"] > bright)) > F.size("pixels") * bright_share
+    return inst.filter(F.coalesce(~(black | white), F.lit(True)))
+
+
+def grid_place(inst: DataFrame, by_coords: bool = True, steps: int = 100) -> DataFrame:
+    """(bag_id, row, col, idx): the cell of each instance in its bag's grid; of several in a cell the last idx.
+
+    By coordinates: x and y from smallest to largest onto 0..steps in single precision, cut to whole numbers; a side without extent is one cell wide.
+    Otherwise a square just large enough, row by row of idx.
+    """
+    if not by_coords:
+        sizes = inst.groupBy("bag_id").agg(F.ceil(F.sqrt(F.count("*").cast("double"))).alias("side"))
+        return inst.select("bag_id", "idx").join(sizes, "bag_id").selectExpr("bag_id", "idx div side as row", "idx % side as col", "idx")
+    ends = inst.groupBy("bag_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))])
+    at = lambda c: F.expr(f"cast(cast(float({c} - low_{c}) / float(float(high_{c} - low_{c}) + float(1e-8)) as float) * float(if(high_{c} > low_{c}, {steps}, 0)) as bigint)")
+    cells = inst.join(ends, "bag_id").select("bag_id", at("x").alias("row"), at("y").alias("col"), "idx")
+    return cells.groupBy("bag_id", "row", "col").agg(F.max("idx").alias("idx"))

@@ -32,15 +32,19 @@ def prf_scores(preds: DataFrame) -> DataFrame:
     return report.agg(*macro, *weighted, share("recall").alias("accuracy"), (1 - share("recall")).alias("error_rate"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"))
 
 
-def cohen_kappa(preds: DataFrame, power: int = 0) -> DataFrame:
-    """kappa with weights 1 (power 0), |i-j| (1) or (i-j)^2 (2) on class positions."""
+def cohen_kappas(preds: DataFrame, powers: dict[str, int]) -> DataFrame:
+    """One row with a kappa for each name: weights 1 (power 0), |i-j| (1) or (i-j)^2 (2) on class positions."""
     cells = confusion_matrix(preds).withColumn("i", F.dense_rank().over(Window.orderBy("y"))).withColumn("j", F.dense_rank().over(Window.orderBy("yhat")))
     total = cells.agg(F.sum("n").alias("total"))
     rows = cells.groupBy("y").agg(F.sum("n").alias("ny"))
     cols = cells.groupBy("yhat").agg(F.sum("n").alias("nh"))
-    w = F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.pow(F.abs(F.col("i") - F.col("j")).cast("double"), F.lit(float(power))))
+    apart = lambda p: F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.pow(F.abs(F.col("i") - F.col("j")).cast("double"), F.lit(float(p))))
     all_ = cells.join(rows, "y").join(cols, "yhat").crossJoin(F.broadcast(total))  # one row
-    return all_.agg((1 - F.sum(w * F.col("n")) / F.sum(w * F.col("ny") * F.col("nh") / F.col("total"))).alias("kappa"))
+    return all_.agg(*[(1 - F.sum(apart(p) * F.col("n")) / F.sum(apart(p) * F.col("ny") * F.col("nh") / F.col("total"))).alias(name) for name, p in powers.items()])
+
+
+def cohen_kappa(preds: DataFrame, power: int = 0) -> DataFrame:
+    return cohen_kappas(preds, {"kappa": power})
 
 
 def per_class_accuracy(preds: DataFrame) -> DataFrame:
@@ -120,7 +124,7 @@ def evaluate_all(preds: DataFrame, classes: int | None = None) -> DataFrame:
     else:
         areas = roc_auc_ovr(preds).select(*[F.col(c).alias(f"auc_{c}") for c in ("macro", "weighted", "micro")])
     parts = [prf_scores(preds), areas]
-    parts += [cohen_kappa(preds, k).select(F.col("kappa").alias(n)) for k, n in enumerate(("kappa", "linear_kappa", "quadratic_kappa"))]
+    parts.append(cohen_kappas(preds, {"kappa": 0, "linear_kappa": 1, "quadratic_kappa": 2}))
     parts.append(confusion_matrix(preds).agg(F.array_sort(F.collect_list(F.struct("y", "yhat", "n"))).alias("confusion")))  # classes squared
     out = parts[0]
     for part in parts[1:]:
