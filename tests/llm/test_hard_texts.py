@@ -189,7 +189,7 @@ def test_others_go_through(spark, docs):
     assert found[0]["n_shingles"] == 1 and found[1]["n_shingles"] == 0 and found[6]["n_shingles"] == 2
     removed = rows(suffix.without_repeats(docs, keep=False))
     assert removed[0]["n_removed"] == SIZE and removed[10]["n_removed"] == 0
-    assert len(rows(jpeg.media_features(jpeg.media_table(docs)))) == len(rows(pfor.token_files(docs))) == len(texts(SIZE))
+    assert jpeg.media_features(jpeg.media_table(docs)).count() == pfor.token_files(docs).count() == len(texts(SIZE))
     model = (np.zeros(0, np.int64), np.zeros(0), 0.0)
     assert toxicity.scored(docs, model).count() == len(texts(SIZE))
     ranked = bloomrank.ranked(docs, items).collect()
