@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_order
-from ..functions.vectors import vec_l2
+from ..functions.vectors import elementwise, vec_l2
 from . import blocks
 from .pooling import mean_pool, pseudo_bags
 from .select import topk_instances
@@ -20,9 +20,10 @@ def topj_pool(inst: DataFrame, js: list[int], classes: int) -> DataFrame:
     return means.unpivot(["bag_id", "pos"], [str(j) for j in js], "j", "value").withColumn("j", F.col("j").cast("int"))
 
 
-def recalibrate(inst: DataFrame, k: int, dim: int) -> DataFrame:
-    """feat becomes relu(feat - mean of the bag's k highest scored instances)."""
-    level = mean_pool(topk_instances(inst, k), dim).withColumnRenamed("feat", "__level")
+def recalibrate(inst: DataFrame, k: int, dim: int, mode: str = "max") -> DataFrame:
+    """feat becomes relu(feat - mean of the bag's k highest scored instances), or of the k lowest (mode min), or of all (mean)."""
+    chosen = inst if mode == "mean" else topk_instances(inst, k, mode == "max")
+    level = mean_pool(chosen, dim).withColumnRenamed("feat", "__level")
     cut = lambda x, m: F.greatest(x.cast("double") - m, F.lit(0.0))
     return inst.join(level, "bag_id").withColumn("feat", F.zip_with("feat", "__level", cut)).drop("__level")
 
@@ -35,6 +36,27 @@ def distill(inst: DataFrame, g: int, k: int) -> DataFrame:
     return ranked.select("bag_id", "chunk", "idx", F.explode(kinds).alias("kind"))
 
 
+def distilled_bags(inst: DataFrame, g: int, k: int, dim: int, mode: str = "MaxMinS") -> DataFrame:
+    """(bag_id, feat): the second tier over g pseudo-bags: the mean of what each gives: its k highest and k lowest scored instances (MaxMinS), its k
+    highest (MaxS), or its softmax-pooled feature (AFS)."""
+    if mode == "AFS":
+        parts = pseudo_bags(inst, g)
+        w = Window.partitionBy("bag_id", "chunk")
+        e = parts.withColumn("e", F.exp(F.col("score") - F.max("score").over(w)))
+        given = e.groupBy("bag_id", "chunk").agg(elementwise(lambda x: F.sum(x * F.col("e")) / F.sum("e"), "feat", dim).alias("feat"))
+    else:
+        kinds = ["max", "min"] if mode == "MaxMinS" else ["max"]
+        given = distill(inst, g, k).filter(F.col("kind").isin(kinds)).join(inst.select("bag_id", "idx", "feat"), ["bag_id", "idx"])
+    return mean_pool(given, dim)
+
+
+def pad_square_zeros(inst: DataFrame, dim: int) -> DataFrame:
+    """Pads a bag to ceil(sqrt(n))^2 instances with rows of zeros."""
+    sizes = inst.groupBy("bag_id").agg(F.count("*").alias("n")).withColumn("side", F.ceil(F.sqrt("n")).cast("long")).filter("side * side > n")
+    extra = sizes.select("bag_id", F.explode(F.sequence(F.col("n"), F.col("side") * F.col("side") - 1)).alias("idx"), F.array_repeat(F.lit(0.0), dim).alias("feat"))
+    return inst.select("bag_id", "idx", F.transform("feat", lambda x: x.cast("double")).alias("feat")).unionByName(extra)
+
+
 def _padded(inst: DataFrame, length: Column, source: Column) -> DataFrame:
     """Instances 0 to length - 1 of each bag; those from n on are copies of the instance that `source` names."""
     sizes = inst.groupBy("bag_id").agg(F.count("*").alias("n"))

@@ -74,6 +74,22 @@ def instance_eval(inst: DataFrame, prob: Column, k: int) -> DataFrame:
     return both.groupBy("bag_id").agg(F.count("*").alias("n"), F.avg(loss).alias("loss"), F.avg(right).alias("accuracy"))
 
 
+def instance_eval_out(inst: DataFrame, prob: Column, k: int) -> DataFrame:
+    """(bag_id, n, loss, accuracy) of a class that is not the bag's: the k highest scored instances should be class 0; prob: the probability of class 1."""
+    r = F.row_number().over(Window.partitionBy("bag_id").orderBy(F.desc("score"), "idx"))
+    top = inst.withColumn("p", prob).withColumn("r", r).filter(F.col("r") <= k)
+    return top.groupBy("bag_id").agg(F.count("*").alias("n"), F.avg(-F.log(1 - F.col("p"))).alias("loss"), F.avg((F.col("p") <= 0.5).cast("double")).alias("accuracy"))
+
+
+def class_importance(inst: DataFrame, bags: DataFrame, weights: list[list[float]], temp: float = 2.0) -> DataFrame:
+    """(bag_id, idx, importance): the softmax over a bag (temperature temp, 1e-8 below) of feat . w, w being the weights of the bag's class (bags: bag_id, yhat)."""
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in weights])
+    dots = inst.join(bags.select("bag_id", "yhat"), "bag_id").select("bag_id", "idx", (vec_dot(F.col("feat"), F.element_at(table, F.col("yhat").cast("int") + 1)) / temp).alias("s"))
+    w = Window.partitionBy("bag_id")
+    e = dots.withColumn("e", F.exp(F.col("s") - F.max("s").over(w)))
+    return e.select("bag_id", "idx", (F.col("e") / (F.sum("e").over(w) + 1e-8)).alias("importance"))
+
+
 def stochastic_topk_mask(inst: DataFrame, n: int, share: float, seed: int = 0) -> DataFrame:
     """Adds masked and weight: of a bag's n highest scores floor(n share) by a hash get weight 0, the others softmax(score); null where all are masked."""
     w = Window.partitionBy("bag_id")

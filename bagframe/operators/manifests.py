@@ -48,7 +48,7 @@ def write_split_wide(splits: DataFrame, roles: list[str], buckets: int = 64) ->
     before = Window.partitionBy("role").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     moved = sizes.select("role", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("role", "b").orderBy("slide_id")
-    placed = dealt.withColumn("r", F.row_number().over(inside)).join(F.broadcast(moved), ["role", "b"]).withColumn("position", F.col("first") + F.col("r"))
+    placed = dealt.withColumn("r", F.row_number().over(inside)).join(moved, ["role", "b"]).withColumn("position", F.col("first") + F.col("r"))
     cells = [F.max(F.when(F.col("role") == r, F.col(c))).alias(f"{r}_{n}") for r in roles for c, n in (("slide_id", "slide_path"), ("label", "label"))]
     return placed.groupBy("position").agg(*cells)
 
@@ -73,7 +73,7 @@ def balanced_sample(slides: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n slides without replacement, every label as likely as another: the smallest -ln(u) / w, w one by the label's count, u from a hash."""
     counts = slides.groupBy("label").agg(F.count("*").alias("n"))
     u = (F.conv(F.substring(hash_order(seed, "slide_id"), 1, 8), 16, 10).cast("double") + 1) / F.lit(2.0**32 + 1)
-    keyed = slides.join(F.broadcast(counts), "label").withColumn("k", -F.log(u) * F.col("n"))
+    keyed = slides.join(counts, "label").withColumn("k", -F.log(u) * F.col("n"))
     return keyed.orderBy("k", "slide_id").limit(n).drop("k", "n")
 
 
@@ -89,6 +89,26 @@ def scale_area(df: DataFrame, base: int = 512) -> DataFrame:
     return df.withColumns({c: F.col(c) * times for c in ("a_t", "a_h")})
 
 
+def old_area(df: DataFrame, base: int = 512) -> DataFrame:
+    """a_t from an area `a` of older settings: a times the pixels of a block of sx by sy in a base square, cut to a whole number."""
+    return df.withColumn("a_t", (F.col("a") * (F.col("sx") * F.col("sy")) / F.lit(float(base**2))).cast("long"))
+
+
+def save_split_wide(splits: DataFrame, roles: list[str], path: str) -> None:
+    """Writes write_split_wide as CSV files with a header, positions in order; what is there is replaced."""
+    write_split_wide(splits, roles).orderBy("position").drop("position").write.mode("overwrite").option("header", True).csv(path)
+
+
+def save_predictions(preds: DataFrame, classes: int, path: str) -> None:
+    """Writes prediction_columns as Parquet; what is there is replaced."""
+    prediction_columns(preds, classes).write.mode("overwrite").parquet(path)
+
+
+def save_epoch_log(log: DataFrame, path: str) -> None:
+    """Writes a wide log (run, epoch, ...) as Parquet, a folder for each run; what is there is replaced."""
+    log.write.mode("overwrite").partitionBy("run").parquet(path)
+
+
 def list_slides(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
     """(path, stem, length) of all files below root that end in one of the extensions (with their point, in either case). Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")

@@ -23,6 +23,18 @@ def classification_report(preds: DataFrame) -> DataFrame:
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).select("y", "precision", "recall", "f1", "support")
 
 
+def report_with_averages(preds: DataFrame) -> DataFrame:
+    """classification_report with class as text, and the rows accuracy, macro avg and weighted avg."""
+    rows = classification_report(preds)
+    share = lambda c: F.sum(F.col(c) * F.col("support")) / F.sum("support")
+    names = ("precision", "recall", "f1")
+    n = F.sum("support").alias("support")
+    out = rows.select(F.col("y").cast("string").alias("class"), *names, "support")
+    out = out.unionByName(rows.agg(*[share("recall").alias(c) for c in names], n).withColumn("class", F.lit("accuracy")))
+    out = out.unionByName(rows.agg(*[F.avg(c).alias(c) for c in names], n).withColumn("class", F.lit("macro avg")))
+    return out.unionByName(rows.agg(*[share(c).alias(c) for c in names], n).withColumn("class", F.lit("weighted avg")))
+
+
 def prf_scores(preds: DataFrame) -> DataFrame:
     """One row: macro and weighted precision, recall, f1, and accuracy (the micro average of all three), error rate, balanced accuracy."""
     report = classification_report(preds)
@@ -52,21 +64,44 @@ def per_class_accuracy(preds: DataFrame) -> DataFrame:
     return preds.groupBy("y").agg(F.count("*").alias("n"), F.sum(ok).alias("correct"), F.avg(ok.cast("double")).alias("acc"))
 
 
+def accuracy_of_classes(preds: DataFrame, classes: int) -> DataFrame:
+    """per_class_accuracy with a row for each of the classes 0 to classes - 1: no rows of a class are n 0 and a null acc."""
+    every = preds.sparkSession.range(classes).select(F.col("id").cast("int").alias("y"))
+    return every.join(per_class_accuracy(preds), "y", "left").fillna(0, ["n", "correct"])
+
+
+def ce_loss(preds: DataFrame) -> DataFrame:
+    """The mean of log(sum of exp(logits)) - logits[y], shifted by the largest logit."""
+    top = F.array_max("logits")
+    total = F.aggregate(F.transform("logits", lambda x: F.exp(x.cast("double") - top)), F.lit(0.0), lambda s, x: s + x)
+    return preds.agg(F.avg(F.log(total) + top - F.col("logits")[F.col("y")]).alias("loss"))
+
+
 def _by_score(preds: DataFrame) -> DataFrame:
     y = F.col("y").cast("long")
     return preds.groupBy("p1").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
 
 
+#: Ranges of scores that are added up before they are ordered.
 BUCKETS = 1024
 
 
+def _dealt(cells: DataFrame, score: str, keys: list[str], sign: int = 1) -> DataFrame:
+    """Adds bucket: the range of a score between its key's lowest and highest, rising with it (or falling); scores may be any numbers."""
+    ends = cells.groupBy(*keys).agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
+    share = (F.col(score) - F.col("__low")) / (F.col("__high") - F.col("__low"))
+    bucket = F.when(F.col("__high") > F.col("__low"), F.floor(share * BUCKETS)).otherwise(0) * sign
+    return cells.join(F.broadcast(ends), keys).withColumn("bucket", bucket).drop("__low", "__high")
+
+
 def auc_by(rows: DataFrame, *groups: str) -> DataFrame:
     """groups, auc, pos and neg of rows (groups, p, hit 0/1): the area with ties averaged, null if one side is empty.
 
     Scores are counted, dealt to buckets of their range and summed within these; only the buckets' sums are ordered by group.
     """
     keys = list(groups)
-    cells = rows.groupBy(*keys, "p").agg(F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg")).withColumn("bucket", F.floor(F.col("p") * BUCKETS))
+    cells = rows.groupBy(*keys, "p").agg(F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg"))
+    cells = _dealt(cells, "p", keys)
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = cells.groupBy(*keys, "bucket").agg(F.sum("neg").alias("n")).select(*keys, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy(*keys, "bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,7 +175,7 @@ def combined_loss(losses: DataFrame, weight: float = 0.7, share: float = 0.5) ->
 
 def roc_curve(preds: DataFrame) -> DataFrame:
     """threshold, fpr, tpr of each score: the shares of both sides with that score or more, summed within buckets of the scores' range."""
-    cells = _by_score(preds).withColumn("bucket", -F.floor(F.col("p1") * BUCKETS)).withColumn("all", F.lit(1))
+    cells = _dealt(_by_score(preds).withColumn("all", F.lit(1)), "p1", ["all"], -1)
     before = Window.partitionBy("all").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = cells.groupBy("all", "bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     first = sums.select("bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"first_{c}") for c in "pn"])

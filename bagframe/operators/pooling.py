@@ -94,6 +94,49 @@ def aggregate_array(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.max(c).alias("max"), F.min(c).alias("min"), F.sum(c).alias("sum"))
 
 
+#: Ranges of values that are counted to find a median.
+RANGES = 1024
+
+
 def aggregate_array_median(df: DataFrame, col: str) -> DataFrame:
-    """aggregate_array with the exact median."""
-    return aggregate_array(df, col).crossJoin(df.agg(F.median(col).alias("median")))
+    """aggregate_array with the exact median: equal values are counted, ranges of values added up, and only the ranges with the middle are put in order.
+    Nulls do not count; without values all are null."""
+    whole = aggregate_array(df, col).crossJoin(df.agg(F.count(col).alias("__n")))  # one row each
+    cells = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    ends = cells.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
+    at = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * RANGES)).otherwise(0)
+    cells = cells.crossJoin(F.broadcast(ends)).withColumn("b", at)
+    sums = cells.groupBy("b").agg(F.sum("c").alias("s"))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # RANGES + 1 rows at most
+    sums = sums.withColumn("first", F.coalesce(F.sum("s").over(before), F.lit(0)))
+    middle = cells.join(F.broadcast(sums), "b").filter("first <= n div 2 and first + s > (n - 1) div 2")
+    upto = F.col("first") + F.sum("c").over(Window.partitionBy("b").orderBy("v"))
+    middle = middle.withColumn("upto", upto).filter("upto > (n - 1) div 2 and upto - c <= n div 2")
+    median = middle.agg(((F.min("v") + F.max("v")) / 2).alias("median"))
+    return whole.drop("__n").crossJoin(F.broadcast(median))
+
+
+def mean_importance(inst: DataFrame, classes: int) -> DataFrame:
+    """(bag_id, idx, importance): the mean of each instance's logits, the first `classes` elements of feat."""
+    total = F.aggregate(F.slice("feat", 1, classes), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return inst.select("bag_id", "idx", (total / classes).alias("importance"))
+
+
+def max_instance_pool(inst: DataFrame, dim: int, classes: int) -> DataFrame:
+    """(bag_id, logits, feat): each class's highest logit (column logits) and the mean feature of the instances that give them, the first idx of equal ones."""
+    each = inst.select("bag_id", "idx", "feat", F.posexplode(F.slice("logits", 1, classes)).alias("class", "v"))
+    best = each.groupBy("bag_id", "class").agg(F.max(F.struct("v", (-F.col("idx")).alias("back"), "feat")).alias("m")).select("bag_id", "class", "m.v", "m.feat")
+    top = F.transform(F.array_sort(F.collect_list(F.struct("class", "v"))), lambda x: x["v"])
+    return best.groupBy("bag_id").agg(top.alias("logits"), elementwise(F.avg, "feat", dim).alias("feat"))
+
+
+def two_level_vectors(inst: DataFrame, dim: int, size: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(bags, importance): softmax-pooled features of chunks of `size` instances, pooled again by the chunks' pooled scores; and each instance's importance,
+    the weight of its chunk."""
+    chunked = inst.withColumn("chunk", F.floor(F.col("idx") / size))
+    e = chunked.withColumn("e", F.exp(F.col("score") - F.max("score").over(_bag("chunk"))))
+    weighed = F.sum("e")
+    chunks = e.groupBy("bag_id", "chunk").agg((F.sum(F.col("e") * F.col("score")) / weighed).alias("score"), elementwise(lambda x: F.sum(x * F.col("e")) / weighed, "feat", dim).alias("feat"))
+    weights = with_softmax(chunks)
+    bags = weights.groupBy("bag_id").agg(elementwise(lambda x: F.sum(x * F.col("weight")), "feat", dim).alias("feat"))
+    return bags, chunked.join(weights.select("bag_id", "chunk", F.col("weight").alias("importance")), ["bag_id", "chunk"]).select("bag_id", "idx", "importance")

@@ -1,9 +1,9 @@
 """Choosing, ordering and padding instances; epochs."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rand import hash_order
+from ..functions.rand import hash_order, placed
 
 
 def _bag():
@@ -39,17 +39,33 @@ def grid_coords(inst: DataFrame) -> DataFrame:
     return inst.withColumn("x", F.col("idx") % side).withColumn("y", F.floor(F.col("idx") / side))
 
 
-def order_coords(tiles: DataFrame) -> DataFrame:
-    """Adds place: the position by x, then y, from 0."""
+def map_back(capped: DataFrame, inst: DataFrame, score: str = "weight") -> DataFrame:
+    """All instances with the score of those that were kept, 0 for the others."""
+    kept = capped.select("bag_id", "idx", F.col(score).alias("__score"))
+    return inst.join(kept, ["bag_id", "idx"], "left").withColumn(score, F.coalesce("__score", F.lit(0.0))).drop("__score")
+
+
+def order_coords(tiles: DataFrame, offset: int = 0) -> DataFrame:
+    """Adds place: the position by x, then y, from 0; offset is added to both coordinates."""
+    if offset:
+        tiles = tiles.withColumns({c: F.col(c) + offset for c in "xy"})
     return tiles.withColumn("place", F.row_number().over(_bag().orderBy("x", "y", "idx")) - 1)
 
 
-def ntile_work(df: DataFrame, n: int, keys: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("part", F.ntile(n).over(Window.partitionBy(*keys).orderBy(*order)))
+def ntile_work(df: DataFrame, n: int, keys: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
+    """Adds part: n contiguous groups of each key's rows in order, larger ones first; groups beyond the rows stay empty. bucket must rise with the order and
+    deals rows to tasks (by default thousands of a numeric first column). Rows with a null key or bucket are left out."""
+    bucket = F.floor(F.col(order[0]) / 1000) if bucket is None else bucket
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__all"))
+    ranked = placed(df.filter(bucket.isNotNull()), keys, bucket, order, "__place").join(sizes, keys)
+    part = F.expr(f"if(__place <= (__all % {n}) * (__all div {n} + 1), (__place - 1) div (__all div {n} + 1) + 1, __all % {n} + (__place - 1 - (__all % {n}) * (__all div {n} + 1)) div (__all div {n}) + 1)")
+    return ranked.withColumn("part", part.cast("int")).drop("__all", "__place")
 
 
-def roi_filter(inst: DataFrame, low: tuple[float, float], high: tuple[float, float]) -> DataFrame:
-    return inst.filter(F.col("x").between(low[0], high[0]) & F.col("y").between(low[1], high[1]))
+def roi_filter(inst: DataFrame, low: tuple[float, float], high: tuple[float, float], shift: bool = False) -> DataFrame:
+    """Instances in a box, sides included; shift: coordinates count from its corner."""
+    kept = inst.filter(F.col("x").between(low[0], high[0]) & F.col("y").between(low[1], high[1]))
+    return kept.withColumns({c: F.col(c) - at for c, at in zip("xy", low)}) if shift else kept
 
 
 def soft_filter(inst: DataFrame, t: float = 0.5) -> DataFrame:
@@ -64,12 +80,12 @@ def best_epoch(epochs: DataFrame) -> DataFrame:
     return epochs.groupBy("run").agg(F.coalesce(F.max_by("epoch", good), F.lit(1)).alias("epoch"))
 
 
-def patience_counter(epochs: DataFrame, patience: int) -> DataFrame:
-    """Adds waited (epochs since the value last reached the running minimum) and stop."""
+def patience_counter(epochs: DataFrame, patience: int, stop_epoch: int = 0) -> DataFrame:
+    """Adds waited (epochs since the value last reached the running minimum) and stop: waited so long, after stop_epoch."""
     w = Window.partitionBy("run").orderBy("epoch")
     low = epochs.withColumn("low", F.min("value").over(w))
     last = F.max(F.when(F.col("value") <= F.col("low"), F.col("epoch"))).over(w)
-    return low.withColumn("waited", F.col("epoch") - last).withColumn("stop", F.col("waited") >= patience).drop("low")
+    return low.withColumn("waited", F.col("epoch") - last).withColumn("stop", (F.col("waited") >= patience) & (F.col("epoch") > stop_epoch)).drop("low")
 
 
 def early_stop_epoch(epochs: DataFrame, patience: int) -> DataFrame:
@@ -88,3 +104,8 @@ def kfold_merge(folds: DataFrame) -> DataFrame:
 def epoch_log(epochs: DataFrame, metrics: list[str]) -> DataFrame:
     """Long (run, metric, value) rows as one wide row for each run."""
     return epochs.groupBy("run").pivot("metric", metrics).agg(F.avg("value"))
+
+
+def best_row(log: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows of a wide log (run, epoch, ...) at each run's best epoch (run, epoch)."""
+    return log.join(best, ["run", "epoch"])

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rand import hash_placed
+from ..functions.rand import hash_placed, placed
 
 
 def _ranked(slides: DataFrame, seed: int) -> DataFrame:
@@ -72,9 +72,15 @@ def quota_split(slides: DataFrame, val_n: int, test_n: int, share: float = 1.0,
     many = slides.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     ranked = hash_placed(many, ["repeat", "label"], seed, "repeat", "slide_id")
     role = F.when(F.col("r") <= val_n, "val").when(F.col("r") <= val_n + test_n, "test").otherwise("train")
-    by_role = Window.partitionBy("repeat", "label", "role")
-    out = ranked.withColumn("role", role).withColumn("nth", F.row_number().over(by_role.orderBy("slide_id"))).withColumn("n", F.count("*").over(by_role))
-    return out.filter((F.col("role") != "train") | (F.col("nth") <= F.ceil(F.col("n") * share))).drop("r", "nth", "n")
+    dealt = ranked.withColumn("role", role).drop("r")
+    if share >= 1:
+        return dealt
+    train = dealt.filter("role = 'train'")
+    numeric = slides.schema["slide_id"].dataType.typeName() in ("long", "integer", "short", "byte")
+    bucket = F.floor(F.col("slide_id") / 1000) if numeric else F.substring(F.col("slide_id").cast("string"), 1, 4)  # both rise with the id
+    sizes = train.groupBy("repeat", "label").agg(F.count("*").alias("n"))
+    first = placed(train, ["repeat", "label"], bucket, ["slide_id"]).join(sizes, ["repeat", "label"]).filter(F.col("r") <= F.ceil(F.col("n") * share))
+    return dealt.filter("role != 'train'").unionByName(first.drop("r", "n"))
 
 
 def patient_split(slides: DataFrame, cases: DataFrame, val_n: int, test_n: int, seed: int = 0) -> DataFrame:
@@ -101,3 +107,10 @@ def kfold_then_val(slides: DataFrame, k: int, val: float, seed: int = 0) -> Data
     ranked = hash_placed(rest, ["fold", "label"], seed + 1, "fold", "slide_id").join(counts, ["fold", "label"])
     role = F.when(F.col("r") <= F.floor(F.col("n") * val + 0.5), "val").otherwise("train")
     return ranked.select("fold", "slide_id", role.alias("role")).union(every.filter("own = fold").select("fold", "slide_id", F.lit("test").alias("role")))
+
+
+def fold_modes(splits: DataFrame) -> DataFrame:
+    """(fold, mode) of each fold of (fold, role): pipeline_mode fold by fold."""
+    has = {r: F.count(F.when(F.col("role") == r, 1)) > 0 for r in ("val", "test")}
+    mode = F.when(has["val"] & has["test"], "Train_Val_Test").when(has["val"], "Train_Val").when(has["test"], "Train_Test")
+    return splits.groupBy("fold").agg(F.coalesce(mode, F.raise_error(F.lit("neither val nor test has members")).cast("string")).alias("mode"))
