@@ -24,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ K = 64
 MISS = 1e-6
 #: Members of a centre that one task compares, about, and rows of an Arrow batch that become Python objects at once.
 MEMBERS = 500
-SLICE = 500
+SLICE, SLICE_BYTES = 500, 4 << 20
 #: Lists with up to so many open members are settled at once: these meet all members, so a list makes rows by its length.
 SHORT = 12
 #: The same for the lists of later rounds, of which most pairs are ruled out by what their members have and ask for.
@@ -105,15 +106,28 @@ def beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return sized(both).join(table, "cls").repartition("c", "salt").sortWithinPartitions("c", "salt", F.desc("own"))
 
 
-def _sliced(batches):
+def _sliced(batches, heavy: str | None = None):
+    """Batches of up to SLICE rows, and of up to SLICE_BYTES of the binary column `heavy` or a single row."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
-
-
-def _lists(values: list[list[int]]) -> pa.ListArray:
-    flat = [v for x in values for v in x]
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)), pa.array(flat, pa.int64()))
+        if heavy is None:
+            ends = np.minimum(np.arange(SLICE, batch.num_rows + SLICE, SLICE), batch.num_rows)
+        else:
+            sizes = np.cumsum(pc.binary_length(batch.column(batch.schema.names.index(heavy))).to_numpy(zero_copy_only=False))
+            ends, at = [], 0
+            while at < batch.num_rows:
+                limit = np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, "right")
+                at = min(max(at + 1, int(limit)), at + SLICE, batch.num_rows)
+                ends.append(at)
+        at = 0
+        for end in ends:
+            yield batch.slice(at, int(end) - at)
+            at = int(end)
+
+
+def _lists(values: list) -> pa.ListArray:
+    """A column of lists from arrays or lists of numbers, built from one array."""
+    flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in values)])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)), pa.array(flat))
 
 
 def sketched(pairs: DataFrame, ranked: DataFrame, num: int, den: int, k: int) -> DataFrame:
@@ -158,8 +172,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     """
 
     def compare(batches):
-        centre = np.zeros(1, np.uint64)
-        for batch in _sliced(batches):
+        centre, none = np.zeros(1, np.uint64), np.zeros(0, np.int64)
+        for batch in _sliced(batches, "members"):
             out = []
             for c, cls, own, again, members in zip(*(x.to_pylist() for x in batch.columns)):
                 own_set = np.frombuffer(members, np.uint64)
@@ -170,8 +184,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 inside = int(hit.sum())
                 linked = den * inside >= num * (len(own_set) + len(centre) - inside)
                 if linked or again:
-                    outside = own_set[~hit].view(np.int64).tolist() if again else []
-                    missing = np.setdiff1d(centre, own_set, assume_unique=True).view(np.int64).tolist() if again else []
+                    outside = own_set[~hit].view(np.int64) if again else none
+                    missing = np.setdiff1d(centre, own_set, assume_unique=True).view(np.int64) if again else none
                     out.append((c, cls, again, linked, len(own_set), inside, outside, missing))
             columns = list(zip(*out)) or [[]] * 8
             kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
