@@ -30,3 +30,10 @@ def elementwise(agg, feat: str, dim: int, *args) -> Column:
 def path_stem(path: Column) -> Column:
     """The file name without folders and last extension."""
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(.)\.[^.]*$", "$1")
+
+
+def renamed(path: Column, suffix: str) -> Column:
+    """The path with a suffix before its last extension."""
+    stem = path_stem(path)
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.concat(F.regexp_extract(path, r"^(.*/)?[^/]*$", 1), stem, F.lit(suffix), F.substr(name, F.length(stem) + 1))

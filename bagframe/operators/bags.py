@@ -109,6 +109,14 @@ def spatial_bias(inst: DataFrame, radius: int) -> DataFrame:
     return near.select("bag_id", "src", "dst", (-F.floor(F.sqrt("d2"))).cast("long").alias("bias"))
 
 
+def spatial_bias_local(inst: DataFrame, radius: int) -> DataFrame:
+    """spatial_bias without the farthest value of a bag: pairs beyond the radius, if it has such (they have no rows), or else those of the lowest bias."""
+    near = spatial_bias(inst, radius)
+    sizes = inst.groupBy("bag_id").agg(F.count("*").alias("n"))
+    ends = near.groupBy("bag_id").agg(F.count("*").alias("pairs"), F.min("bias").alias("low")).join(sizes, "bag_id")
+    return near.join(ends, "bag_id").filter((F.col("pairs") < F.col("n") * F.col("n")) | (F.col("bias") > F.col("low"))).select("bag_id", "src", "dst", "bias")
+
+
 #: Most centres that all go to every task; more meet the instances in blocks.
 MOST_CENTRES = 4096
 

@@ -124,10 +124,10 @@ def init_process_list(slides: DataFrame, defaults: dict) -> DataFrame:
     return slides.withColumns(filled).withColumn("process", F.lit(1)).withColumn("status", F.lit("tbp"))
 
 
-def pending_work(proc: DataFrame, done: DataFrame, most_area: float = 1e8) -> DataFrame:
-    """Sets status: already_exist for slides of `done`, failed_for_level without a level, failed_seg where the level's area is above most_area, else tbp."""
+def pending_work(proc: DataFrame, done: DataFrame, most_area: float = 1e8, lacking: str = "failed_for_level") -> DataFrame:
+    """Sets status: already_exist for slides of `done`, `lacking` (failed_for_mag where levels come from magnifications) without a level, failed_seg where the level's area is above most_area, else tbp."""
     seen = done.select("slide_id").distinct().withColumn("seen", F.lit(True))
-    status = F.when(F.col("seen"), "already_exist").when(F.col("level").isNull(), "failed_for_level").when(F.col("area") > most_area, "failed_seg").otherwise("tbp")
+    status = F.when(F.col("seen"), "already_exist").when(F.col("level").isNull(), lacking).when(F.col("area") > most_area, "failed_seg").otherwise("tbp")
     return proc.join(seen, "slide_id", "left").withColumn("status", status).drop("seen")
 
 

@@ -95,3 +95,12 @@ def psebmix(inst: DataFrame, pairs: DataFrame, n: int = 30, seed: int = 0) -> Da
     has = both.groupBy("bag_id").agg(F.max("own").alias("some"), F.max(~F.col("own")).alias("more"))
     ratio = F.when(F.col("some") & F.col("more"), F.col("k") / n).when(F.col("some"), 1.0).otherwise(0.0)
     return both.join(has, "bag_id").select(F.col("bag_id").alias("pair_id"), "source", "idx", ratio.alias("ratio"))
+
+
+def rankmix_shrink(inst: DataFrame, pairs: DataFrame, seed: int = 0) -> DataFrame:
+    """(pair_id, source, idx, factor, ratio): the larger bag cut to the size of the smaller by score; features count times factor: lambda in the bag, 1 - lambda in
+    its partner. ratio is the bag's share of the instances."""
+    own, other = _ranked(inst, pairs, [F.desc("score"), F.col("idx")])
+    least, lam = F.least("n1", "n2"), hash_uniform(seed, "bag_id")
+    both = own.filter(F.col("r") <= least).withColumn("factor", lam).unionByName(other.filter(F.col("r") <= least).withColumn("factor", 1 - lam))
+    return both.select(F.col("bag_id").alias("pair_id"), "source", "idx", "factor", F.lit(0.5).alias("ratio"))

@@ -74,6 +74,16 @@ def soft_filter(inst: DataFrame, t: float = 0.5) -> DataFrame:
     return inst.withColumn("kept", passes | ~F.max(passes).over(_bag()))
 
 
+def soft_scale(inst: DataFrame, t: float = 0.5) -> DataFrame:
+    """soft_filter with feat times the score: kept rows go on, the others (kept false) are the rest."""
+    return soft_filter(inst, t).withColumn("feat", F.transform("feat", lambda x: x.cast("double") * F.col("score")))
+
+
+def range_between(inst: DataFrame, k: int, low: float, high: float, seed: int = 0) -> DataFrame:
+    """At most k random instances of each bag whose score lies in [low, high]."""
+    return cap_bag(inst.filter(F.col("score").between(low, high)), k, seed)
+
+
 def best_epoch(epochs: DataFrame) -> DataFrame:
     """The first epoch with the highest value above 0 of each run; 1 if none is."""
     good = F.when(F.col("value") > 0, F.struct("value", -F.col("epoch")))

@@ -114,3 +114,27 @@ def fold_modes(splits: DataFrame) -> DataFrame:
     has = {r: F.count(F.when(F.col("role") == r, 1)) > 0 for r in ("val", "test")}
     mode = F.when(has["val"] & has["test"], "Train_Val_Test").when(has["val"], "Train_Val").when(has["test"], "Train_Test")
     return splits.groupBy("fold").agg(F.coalesce(mode, F.raise_error(F.lit("neither val nor test has members")).cast("string")).alias("mode"))
+
+
+def quota_split_fixed(slides: DataFrame, fixed: DataFrame, val_n: int, share: float = 1.0, repeats: int = 1, seed: int = 0) -> DataFrame:
+    """quota_split of the slides outside `fixed` (slide_id), which are every repeat's test."""
+    ids = fixed.select("slide_id").distinct()
+    rest = quota_split(slides.join(ids, "slide_id", "left_anti"), val_n, 0, share, repeats, seed)
+    held = slides.join(ids, "slide_id", "left_semi").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("role", F.lit("test"))
+    return rest.select("repeat", "slide_id", "label", "role").unionByName(held.select("repeat", "slide_id", "label", "role"))
+
+
+def stratified_split_exact(slides: DataFrame, ratios: dict[str, float], seed: int = 0) -> DataFrame:
+    """stratified_split with each label's counts by largest remainders: the whole parts of n times the ratios, and what is left to the largest fractions, the
+    first of equal ones (nine digits)."""
+    if abs(sum(ratios.values()) - 1) > 1e-9:
+        raise ValueError("ratios must sum to 1")
+    names = list(ratios)
+    quotas = F.array(*[F.round(F.col("n") * F.lit(float(r)), 9) for r in ratios.values()])
+    counts = slides.groupBy("label").agg(F.count("*").alias("n")).withColumn("q", quotas)
+    counts = counts.withColumn("left", F.expr("n - aggregate(q, 0L, (s, x) -> s + cast(floor(x) as bigint))"))
+    counts = counts.withColumn("order", F.expr("transform(array_sort(transform(q, (x, i) -> struct(floor(x) - x as f, i as i))), x -> x.i)"))
+    counts = counts.withColumn("c", F.expr("transform(q, (x, i) -> cast(floor(x) as bigint) + if(array_position(order, i) <= left, 1L, 0L))"))
+    counts = counts.withColumn("ends", F.expr("transform(c, (x, i) -> aggregate(slice(c, 1, i + 1), 0L, (s, y) -> s + y))")).select("label", "ends")
+    place = F.expr("size(filter(ends, e -> e < r))")
+    return _ranked(slides, seed).join(counts, "label").withColumn("role", F.element_at(F.array(*map(F.lit, names)), place + 1)).drop("r", "ends")

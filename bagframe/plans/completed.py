@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bags, clusters, manifests, metrics, pooling, select, splits
+from ..functions.vectors import renamed
+from ..operators import bags, clusters, graphs, manifests, metrics, mixing, pooling, select, splits
 from ..sources import tables as T
-from .catalogue import DIM, EPOCHS, INST, LINES, POS, PREDS, REPORT, long, query, rounded
+from .catalogue import DIM, EPOCHS, INST, LINES, POS, PREDS, REPORT, SLIDES, long, query, rounded
+from .further import MIXED, uniform
 from .more import PREDS3, ROLES, preds3, roles
 
 
@@ -175,3 +177,51 @@ def split_wide_cells(spark, sf) -> DataFrame:
     wide = manifests.write_split_wide(roles(spark, sf), names)
     back = [wide.select(F.col(f"{r}_slide_path").alias("slide_id"), F.col(f"{r}_label").alias("label"), F.lit(r).alias("role")).filter("slide_id is not null") for r in names]
     return reduce(DataFrame.unionByName, back)
+
+
+@query(f"""WITH {INST}, {POS} SELECT bag_id, idx, CAST(pos AS INT) AS pos, round(v * score, 6) AS value, score > 0.1 OR NOT bool_or(score > 0.1) OVER (PARTITION BY bag_id) AS kept FROM pos""")
+def soft_scale(spark, sf) -> DataFrame:
+    out = select.soft_scale(T.vectors(spark, sf), 0.1)
+    return rounded(out.select("bag_id", "idx", F.posexplode("feat").alias("pos", "value"), "kept"), "value")
+
+
+@query(f"WITH {LINES} SELECT bag_id, idx FROM sc WHERE score BETWEEN 20000 AND 40000 QUALIFY row_number() OVER (PARTITION BY bag_id ORDER BY md5('7:' || bag_id || ':' || idx)) <= 2")
+def range_between(spark, sf) -> DataFrame:
+    return select.range_between(T.scores(spark, sf), 2, 20_000, 40_000, 7).select("bag_id", "idx")
+
+
+@query(f"""WITH {MIXED}, ch AS (SELECT * FROM pa WHERE {uniform(4, "bag_id")} < 0.5 AND bag_id != partner), rk AS (SELECT bag_id AS source, idx, row_number() OVER (PARTITION BY bag_id ORDER BY score DESC, idx) AS r FROM sc)
+ SELECT bag_id AS pair_id, source, idx, round(lam, 6) AS factor, 0.5::DOUBLE AS ratio FROM ch JOIN rk ON source = bag_id WHERE r <= least(n1, n2) UNION ALL SELECT bag_id, source, idx, round(1 - lam, 6), 0.5 FROM ch JOIN rk ON source = partner WHERE r <= least(n1, n2)""")
+def rankmix_shrink(spark, sf) -> DataFrame:
+    inst = T.scores(spark, sf)
+    return rounded(mixing.rankmix_shrink(inst, graphs.chosen_pairs(inst.select("bag_id"), 0.5, 3).filter("mixed"), 9), "factor")
+
+
+@query(f"""WITH {LINES}, d AS (SELECT a.bag_id, a.idx AS src, b.idx AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM sc a JOIN sc b USING (bag_id)),
+ f AS (SELECT *, CASE WHEN d2 <= 1000000 THEN -floor(sqrt(d2)) ELSE -100000 END AS bias FROM d) SELECT bag_id, src, dst, CAST(bias AS BIGINT) AS bias FROM f QUALIFY bias > min(bias) OVER (PARTITION BY bag_id)""")
+def spatial_bias_local(spark, sf) -> DataFrame:
+    return bags.spatial_bias_local(T.scores(spark, sf), 1000)
+
+
+@query(f"""WITH {SLIDES}, f AS (SELECT slide_id FROM sl WHERE slide_id % 10 = 3), r AS (SELECT repeat, slide_id, label, row_number() OVER (PARTITION BY repeat, label ORDER BY md5('5:' || repeat || ':' || slide_id), slide_id) AS r FROM sl, (SELECT UNNEST(range(0, 2)) AS repeat) WHERE slide_id NOT IN (SELECT slide_id FROM f)),
+ q AS (SELECT repeat, slide_id, label, CASE WHEN r <= 40 THEN 'val' ELSE 'train' END AS role FROM r), k AS (SELECT * FROM q QUALIFY role != 'train' OR row_number() OVER (PARTITION BY repeat, label, role ORDER BY slide_id) <= ceil(count(*) OVER (PARTITION BY repeat, label, role) * 0.5))
+ SELECT CAST(repeat AS INT) AS repeat, slide_id, label, role FROM k UNION ALL SELECT CAST(repeat AS INT), slide_id, label, 'test' FROM sl, (SELECT UNNEST(range(0, 2)) AS repeat) WHERE slide_id IN (SELECT slide_id FROM f)""")
+def quota_split_fixed(spark, sf) -> DataFrame:
+    slides = T.slides(spark, sf)
+    return splits.quota_split_fixed(slides, slides.filter("slide_id % 10 = 3"), 40, 0.5, 2, 5)
+
+
+@query(f"""WITH {SLIDES}, n AS (SELECT label, count(*) AS n FROM sl GROUP BY label), q AS (SELECT label, n, role, pos, round(n * share, 9) AS q FROM n, (VALUES ('train', 0, 0.615::DOUBLE), ('val', 1, 0.215::DOUBLE), ('test', 2, 0.17::DOUBLE)) t(role, pos, share)),
+ s AS (SELECT *, floor(q) + CASE WHEN row_number() OVER (PARTITION BY label ORDER BY floor(q) - q, pos) <= n - sum(floor(q)) OVER (PARTITION BY label) THEN 1 ELSE 0 END AS seats FROM q),
+ b AS (SELECT label, role, sum(seats) OVER (PARTITION BY label ORDER BY pos) AS upto, seats FROM s), r AS (SELECT slide_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || slide_id), slide_id) AS r FROM sl)
+ SELECT slide_id, r.label, role FROM r JOIN b ON b.label = r.label AND r > upto - seats AND r <= upto""")
+def stratified_split_exact(spark, sf) -> DataFrame:
+    return splits.stratified_split_exact(T.slides(spark, sf), {"train": 0.615, "val": 0.215, "test": 0.17}, 42).select("slide_id", "label", "role")
+
+
+@query(r"SELECT page_id, regexp_replace(url, '([^/.])(\.[^./]*)$', '\1_bayesian_gaussian\2') AS path FROM pages")
+def renamed_paths(spark, sf) -> DataFrame:
+    """The pages' addresses with their endings renamed; those without an extension get the suffix at their end."""
+    pages = T.table(spark, sf, "pages").filter("regexp_like(url, '[^/.][.][^./]*$')")
+    rest = T.table(spark, sf, "pages").filter("not regexp_like(url, '[^/.][.][^./]*$')")
+    return pages.select("page_id", renamed(F.col("url"), "_bayesian_gaussian").alias("path")).unionByName(rest.select("page_id", F.col("url").alias("path")))
