@@ -2,13 +2,15 @@
 
 A text is tokenised whole by both. Where tokens of both end at the same byte and both go on with a token that is marked by a space, the text is cut
 into windows of token ids, a pair of id tuples each. Windows recur all over a corpus, so their alignments are remembered by these tuples: groups
-between shared ends, and links between tokens whose bytes overlap. Links are counted by id pair in Spark, and every document's links are weighed by
-these counts.
+between shared ends, and links between tokens whose bytes overlap. A word between single spaces is a window of its own, so the number of its window is kept with it: it is
+not encoded again, nor is its window looked up by ids. Links are counted by id pair in Spark, and every document's links are weighed by these
+counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -18,12 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .tokens import Encoder, groups, vocabulary
+from .tokens import WHITE, Encoder, groups, vocabulary
 
 #: Most rows of the pair counts (24 bytes each) that are broadcast; beyond it the join shuffles.
 BROADCAST_PAIRS = 500_000
-#: Most words of either tokenizer (about 200 bytes each) and windows (300) that a worker remembers.
-WORDS, WINDOWS = 250_000, 200_000
+#: Most words of either tokenizer (about 200 bytes each) and windows (300; twice as many words, 120) that a worker remembers.
+WORDS, WINDOWS = 100_000, 250_000
 
 
 class PlainEncoder(Encoder):
@@ -109,18 +111,22 @@ class Memory:
         self.names = [str(i) for i in range(max(len(a.bytes), len(b.bytes)))]
         self.number: dict[bytes, int] = {}
         self.text: list[str] = []
-        self.n_groups, self.links, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.n_a, self.n_b, self.n_groups, self.links = (np.zeros(0, np.int64) for _ in range(4))
+        self.at = np.zeros(1, np.int64)
+        #: The window of each word that was met between single spaces.
+        self.words: dict[str, int] = {}
         self.pair_number: dict[int, int] = {}
         #: Id pairs by number: A's id in the upper half, B's in the lower.
         self.pairs = np.zeros(0, np.int64)
 
-    def learn(self, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray) -> None:
-        """Aligns new windows, one after another in both arrays of ids; n_a: tokens of A of each.
+    def learn(self, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        """Aligns new windows, one after another in both arrays of ids; n_a, n_b: tokens of each.
 
         Every byte where a token of either ends closes a link, of the tokens that hold it; where tokens of both end it closes a group, too.
         """
         end_a, end_b = np.cumsum(self.a.sizes[ids_a]), np.cumsum(self.b.sizes[ids_b])
         window_end = end_a[np.cumsum(n_a) - 1]
+        self.n_a, self.n_b = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, n_b])
         either = np.union1d(end_a, end_b)
         pairs, which = np.unique((ids_a[np.searchsorted(end_a, either)] << 32) | ids_b[np.searchsorted(end_b, either)], return_inverse=True)
         numbers = [self.pair_number.setdefault(p, len(self.pair_number)) for p in pairs.tolist()]
@@ -166,44 +172,103 @@ def windows(ids_a: np.ndarray, ids_b: np.ndarray, ends: np.ndarray, a, b) -> tup
     return i[anchor] + 1, j[anchor] + 1
 
 
+def window_numbers(memory: Memory, all_a: bytes, all_b: bytes, n_bytes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the windows of texts, whose ids come one after another, and how many tokens of A stand before each window's end. New ones are aligned."""
+    of_a, of_b = np.frombuffer(all_a, "<u4").astype(np.int64), np.frombuffer(all_b, "<u4").astype(np.int64)
+    to_a, to_b = windows(of_a, of_b, np.cumsum(n_bytes), memory.a, memory.b)
+    numbers, known, new, x0, y0 = [], memory.number, [], 0, 0
+    for x, y in zip((4 * to_a).tolist(), (4 * to_b).tolist()):
+        key = all_a[x0:x] + _MARK + all_b[y0:y]
+        n = known.setdefault(key, len(known))
+        if n == len(memory.text) + len(new):
+            new.append((x0, x, y0, y))
+        numbers.append(n)
+        x0, y0 = x, y
+    if new:
+        new_a, new_b = b"".join([all_a[x0:x] for x0, x, _, _ in new]), b"".join([all_b[y0:y] for _, _, y0, y in new])
+        memory.learn(np.frombuffer(new_a, "<u4").astype(np.int64), np.frombuffer(new_b, "<u4").astype(np.int64), np.array([(x - x0) // 4 for x0, x, _, _ in new]), np.array([(y - y0) // 4 for _, _, y0, y in new]))
+    return np.array(numbers, np.int64), to_a
+
+
+#: A space before other white space: there a text is not split into words.
+_gap = re.compile(f" [{WHITE}]")
+
+
+def single_words(text: str, b: Pieces) -> list[str] | None:
+    """The words of a text in which single spaces stand between words without white space at their start; None of another text.
+
+    Both tokenizers split such a text before each space, whatever stands around it, so a word's tokens are those it has in every text, and one window.
+    """
+    return None if not b.apart or text[0] == " " or text[-1] == " " or _gap.search(f" {text}") else text.split(" ")
+
+
+#: Words that are tokenised as one text.
+TOGETHER = 1000
+
+
+def learn_words(memory: Memory, words: list[str]) -> None:
+    """Tokenises words and keeps the number of each one's window; -1 where the tokens' bytes are not the word's.
+
+    Many words are tokenised as one text with single spaces, which gives the same tokens; only where its bytes are not all there, one by one.
+    """
+    a, b, good, ids_a, ids_b = memory.a, memory.b, [], [], []
+    for at in range(0, len(words), TOGETHER):
+        some = words[at : at + TOGETHER]
+        joined = " ".join(some)
+        coded = a.tokenizer.encode_batch_fast([" " + joined], add_special_tokens=False)[0].ids, b.model.encode(joined, num_threads=1)
+        if all(b"".join(map(x.bytes.__getitem__, ids)) == b" " + joined.encode() for x, ids in zip((a, b), coded)):
+            good += some
+            ids_a.append(np.array(coded[0], "<u4").tobytes())
+            ids_b.append(np.array(coded[1], "<u4").tobytes())
+            continue
+        alone = b.encode(some)
+        memory.words.update((w, -1) for w, x in zip(some, alone) if x is None)
+        right = [(w, x) for w, x in zip(some, alone) if x is not None]
+        good += [w for w, _ in right]
+        ids_a += a.encode([" " + w for w, _ in right])
+        ids_b += [x for _, x in right]
+    if good:
+        numbers, _ = window_numbers(memory, b"".join(ids_a), b"".join(ids_b), [len(w.encode()) + 1 for w in good])
+        if len(numbers) != len(good):
+            raise ValueError("a word has several windows")
+        memory.words.update(zip(good, numbers.tolist()))
+
+
 def _aligned_texts(names: tuple[str, str]):
     def align(texts: list[str]):
         """For each text: numbers of A's and B's tokens, groups and links, the groups' SHA-256, id pairs and how often the text has them linked."""
         a, b = encoders(*names)
         memory = _remembered.get(names)
-        if memory is None or len(memory.number) > WINDOWS:
+        if memory is None or len(memory.number) > WINDOWS or len(memory.words) > 2 * WINDOWS:
             memory = _remembered[names] = Memory(a, b)
-        ids_b = b.encode([t for t in texts if t])
-        ids_b = dict(zip([k for k, t in enumerate(texts) if t], ids_b))
-        ids_a = a.encode([" " + t if ids_b.get(k) is not None else "" for k, t in enumerate(texts)])
+        split = [single_words(t, b) if t else [] for t in texts]
+        new: set[str] = set()
+        for x in split:
+            new.update(x or ())
+        new.difference_update(memory.words)
+        learn_words(memory, list(new))
+        number = memory.words.__getitem__
+        parts = [np.array(list(map(number, x)), np.int64) if x else None for x in split]
+        whole = [k for k, x in enumerate(split) if x is None]
+        if whole:
+            ids_b = b.encode([texts[k] for k in whole])
+            whole = [(k, x) for k, x in zip(whole, ids_b) if x is not None]
+            ids_a = a.encode([" " + texts[k] for k, _ in whole])
+            if whole:
+                found, to_a = window_numbers(memory, b"".join(ids_a), b"".join([x for _, x in whole]), [len(texts[k].encode()) + 1 for k, _ in whole])
+                cut = np.searchsorted(to_a, np.cumsum([len(x) // 4 for x in ids_a])) + 1
+                for (k, _), own in zip(whole, np.split(found, cut[:-1])):
+                    parts[k] = own
         out: list[tuple] = [(0, 0, 0, 0, "", [], [])] * len(texts)
-        used = [k for k in range(len(texts)) if ids_a[k]]
+        used = [k for k, x in enumerate(parts) if x is not None and (x >= 0).all()]
         if not used:
             return out
-        all_a, all_b = b"".join(ids_a[k] for k in used), b"".join(ids_b[k] for k in used)
-        of_a, of_b = np.frombuffer(all_a, "<u4").astype(np.int64), np.frombuffer(all_b, "<u4").astype(np.int64)
-        n_a, n_b = np.array([len(ids_a[k]) // 4 for k in used]), np.array([len(ids_b[k]) // 4 for k in used])
-        ends = np.cumsum([len(texts[k].encode()) + 1 for k in used])
-        to_a, to_b = windows(of_a, of_b, ends, a, b)
-        numbers, known, new, x0, y0 = [], memory.number, [], 0, 0
-        for x, y in zip((4 * to_a).tolist(), (4 * to_b).tolist()):
-            key = all_a[x0:x] + _MARK + all_b[y0:y]
-            n = known.setdefault(key, len(known))
-            if n == len(memory.text) + len(new):
-                new.append((x0, x, y0, y))
-            numbers.append(n)
-            x0, y0 = x, y
-        if new:
-            new_a, new_b = b"".join([all_a[x0:x] for x0, x, _, _ in new]), b"".join([all_b[y0:y] for _, _, y0, y in new])
-            memory.learn(np.frombuffer(new_a, "<u4").astype(np.int64), np.frombuffer(new_b, "<u4").astype(np.int64), np.array([(x - x0) // 4 for x0, x, _, _ in new]))
-        text = list(map(memory.text.__getitem__, numbers))
-        numbers = np.array(numbers)
-        cut = np.searchsorted(to_a, np.cumsum(n_a)) + 1
+        numbers = np.concatenate([parts[k] for k in used])
+        text = list(map(memory.text.__getitem__, numbers.tolist()))
+        cut = np.cumsum([len(parts[k]) for k in used])
         first = np.concatenate([[0], cut[:-1]])
         links, n = memory.linked(numbers)
-        link_cut = np.cumsum(n)[cut - 1]
-        n_links = np.diff(link_cut, prepend=0)
-        n_groups = np.add.reduceat(memory.n_groups[numbers], first)
+        n_a, n_b, n_groups, n_links = (np.add.reduceat(x, first) for x in (memory.n_a[numbers], memory.n_b[numbers], memory.n_groups[numbers], n))
         # Each text's id pairs: numbers below 2**40 behind the text's place.
         found, times = np.unique((np.repeat(np.arange(len(used)), n_links) << 40) | links, return_counts=True)
         pair_cut = np.searchsorted(found, np.arange(1, len(used) + 1) << 40)
