@@ -2,7 +2,8 @@
 
 Every window of LENGTH bytes is dealt to the smallest hash of its GRAM-byte strings, so equal windows get the same key whatever stands around them.
 Runs of neighbouring windows of one key form a segment. Keys with one segment in the whole corpus cannot repeat and are dropped before any text moves;
-equal segments are merged. Shards of whole keys then get a suffix array and its permuted longest common prefixes, which tell each window's repeats.
+equal segments are merged. Shards of whole keys then get a suffix array and its permuted longest common prefixes, counted byte by byte, which tell each
+window's repeats; hashes only bring together what may be equal.
 The segments of a key that has more than HOT different ones are cut where the distance from a window to its string passes multiples of a width (WIDTHS),
 which gives finer keys: what stands inside a passage common to many texts becomes equal there and is merged, so only what straddles its ends goes on.
 """
@@ -24,20 +25,14 @@ LENGTH, GRAM = 400, 200
 RUN = 400
 #: Bytes of a shard, about, and most segments of a key that share one.
 SHARD, HOT = 1 << 20, 4_000
+#: Most buckets that are filled by steps over arrays, bucket by bucket; more (of names) are filled place by place.
+MOST_BUCKETS = 1 << 10
+#: Numbers that are compared at once for common prefixes.
+COMPARED = 1 << 20
 #: Windows of the segments of finer keys; single windows are either merged or told apart.
 WIDTHS = (32, 4, 1)
 
 
-def settled(names: np.ndarray, step: int = 1) -> np.ndarray:
-    """The order of the suffixes of a string of names: names of equal pairs, `step` places apart, get one name, recursively, until all differ."""
-    n = len(names)
-    if int(names.max()) + 1 == n:
-        return np.argsort(names)
-    second = np.zeros(n, np.int64)
-    second[: max(0, n - step)] = names[step:] + 1
-    return settled(np.unique(names * (n + 1) + second, return_inverse=True)[1], 2 * step)
-
-
 def _types(s: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next; the last one is."""
     differ = np.flatnonzero(s[1:] != s[:-1])
@@ -89,16 +84,51 @@ def induced(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int, single
     return sa
 
 
+def induced_singly(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """As `induced`, place by place: for strings of names, which have many buckets of few places each."""
+    ends = np.cumsum(np.bincount(s, minlength=size))
+    own = s[lms]
+    order = np.argsort(own, kind="stable")
+    at = np.full(len(s), -1, np.int64)
+    at[ends[own[order]] - np.searchsorted(own[order], own[order], "right") + np.arange(len(lms))] = lms[order]
+    sa, to = at.tolist(), np.append(0, ends[:-1]).tolist()
+    # The bucket that a suffix's predecessor falls into in either pass; none for the first suffix and, at the list's end, for empty places (-1).
+    falls, rises = (np.where(wanted, np.roll(s, 1), -1) for wanted in (~np.roll(small, 1), np.roll(small, 1)))
+    falls[0] = rises[0] = -1
+    falls, rises = np.append(falls, -1).tolist(), np.append(rises, -1).tolist()
+    # Both walks meet what they place: to the right of where they are, to the left on the way back.
+    for j in sa:
+        c = falls[j]
+        if c >= 0:
+            sa[to[c]] = j - 1
+            to[c] += 1
+    to = ends.tolist()
+    for j in reversed(sa):
+        c = rises[j]
+        if c >= 0:
+            to[c] = i = to[c] - 1
+            sa[i] = j - 1
+    return np.array(sa, np.int64)
+
+
 def shard_array(s: np.ndarray, size: int, single: int) -> np.ndarray:
-    """Suffix array of a shard: s ends in its only 0, numbers below `single` stand once and after greater ones."""
+    """Suffix array of a shard: s ends in its only 0, numbers below `single` stand once and after greater ones.
+
+    Equal leftmost-smaller substrings get one name; the order of the suffixes of the string of names, which ends in its only 0, too, comes by recursion.
+    """
+    if np.bincount(s).max() == 1:
+        return np.argsort(s)
     small = _types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    first = lms[np.argsort(s[lms], kind="stable")]
-    sa = induced(s, small, first, size, single)
+    few = size - single <= MOST_BUCKETS
+
+    def sorted_from(order):
+        return induced(s, small, order, size, single) if few else induced_singly(s, small, order, size)
+
+    sa = sorted_from(lms[np.argsort(s[lms], kind="stable")])
     is_lms = np.zeros(len(s), bool)
     is_lms[lms] = True
     order = sa[is_lms[sa]]
-    # Equal leftmost-smaller substrings get one name, in the order of the first pass.
     stop = np.zeros(len(s), np.int64)
     stop[lms] = np.append(lms[1:] + 1, len(s))
     length = stop[order] - order
@@ -108,23 +138,35 @@ def shard_array(s: np.ndarray, size: int, single: int) -> np.ndarray:
     inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     differs = s[np.repeat(order[pair], n) + inside] != s[np.repeat(order[pair - 1], n) + inside]
     same[pair] = np.bincount(np.repeat(np.arange(len(pair)), n), differs, len(pair)) == 0
-    name = np.cumsum(~same) - 1
-    if name[-1] + 1 < len(lms):
-        named = np.zeros(len(s), np.int64)
-        named[order] = name
-        order = lms[settled(named[lms])]
-    return induced(s, small, order, size, single)
+    named = np.zeros(len(s), np.int64)
+    named[order] = np.cumsum(~same) - 1
+    return sorted_from(lms[shard_array(named[lms], len(lms) - int(same.sum()), 1)])
 
 
-def permuted_lcp(s: np.ndarray, sa: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of the text, its suffix's predecessor in the array and whether their common prefix has `length` numbers or more, by hashes."""
+def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the text, its suffix's predecessor in the array (-1: none) and how many numbers their common prefix has, compared one by one.
+
+    Where both are preceded by the same number, the prefix is one shorter than that of the place before; all others are compared, whose lengths
+    add up to O(n log n).
+    """
+    at = np.arange(len(s))
     before = np.full(len(s), -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    at = np.flatnonzero((before >= 0) & (np.maximum(before, np.arange(len(s))) + length <= len(s)))
-    pre = prefix(s)
-    out = np.zeros(len(s), bool)
-    out[at] = substring_hash(pre, at, at + length) == substring_hash(pre, before[at], before[at] + length)
-    return before, out
+    follows = (at > 0) & (before > 0) & (s[at - 1] == s[before - 1])
+    reach = np.where(follows, 0, at)
+    open_, block = np.flatnonzero(~follows & (before >= 0)), 8
+    while len(open_):
+        left = []
+        for part in np.array_split(open_, len(open_) * block // COMPARED + 1):
+            step = (reach[part] - part)[:, None] + np.arange(block)
+            # One of the two meets the only 0 at the end first, and differs there.
+            x, y = (s[np.minimum(p[:, None] + step, len(s) - 1)] for p in (part, before[part]))
+            differs = x != y
+            ended = differs.any(axis=1)
+            reach[part] += np.where(ended, differs.argmax(axis=1), block)
+            left.append(part[~ended])
+        open_, block = np.concatenate(left), min(2 * block, LENGTH)
+    return before, np.maximum.accumulate(reach) - at
 
 
 def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -139,7 +181,8 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndar
     s[~is_end] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64) + m
     values, dense = np.unique(s[~is_end], return_inverse=True)
     s[~is_end] = dense + m
-    before, hit = permuted_lcp(s, shard_array(s, m + len(values), m), length)
+    before, common = permuted_lcp(s, shard_array(s, m + len(values), m))
+    hit = common >= length
     hit[before[hit]] = True
     return [np.flatnonzero(hit[a : b - 1]) for a, b in zip(ends - sizes, ends)]
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bagframe.llm import decontam, jpeg, licenses, neardup, packing, pfor, pii, secrets, suffix, tokens, toxicity
@@ -227,17 +228,53 @@ def test_repeats(docs, none, hot):
     assert suffix.without_repeats(none).count() == 0
 
 
-def test_suffix_array():
+@pytest.mark.parametrize("most", [0, 2, 1024])
+def test_suffix_array(monkeypatch, most):
+    """Suffixes in order and whole common prefixes, bucket by bucket and place by place; repeats do not depend on hashes."""
+    monkeypatch.setattr(suffix, "MOST_BUCKETS", most)
+    monkeypatch.setattr(suffix, "COMPARED", 64)
+    monkeypatch.setattr(suffix, "substring_hash", lambda pre, a, b: np.zeros(len(a), np.uint64))
     draw = random.Random(2)
-    for _ in range(100):
-        s = np.array([draw.randint(1, 3) for _ in range(draw.randint(2, 40))] + [0])
-        assert suffix.shard_array(s, 4, 1).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    for _ in range(150):
+        s = np.array([draw.randint(1, draw.randint(1, 3)) for _ in range(draw.randint(1, 60))] + [0])
+        want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        sa = suffix.shard_array(s, 4, 1)
+        assert sa.tolist() == want
+        before, common = suffix.permuted_lcp(s, sa)
+        assert before[want[0]] == -1 and common[want[0]] == 0
+        for i, j in zip(want[1:], want):
+            assert before[i] == j and common[i] == next(k for k in range(len(s)) if s[i + k] != s[j + k])
     for _ in range(50):
         segments = [bytes(draw.choices(b"abc", k=draw.randint(4, 30))) for _ in range(draw.randint(1, 6))]
         seen = Counter(x[i : i + 4] for x in segments for i in range(len(x) - 3))
         assert [x.tolist() for x in suffix.repeated_starts(segments, 4)] == [[i for i in range(len(x) - 3) if seen[x[i : i + 4]] > 1] for x in segments]
 
 
+@pytest.mark.parametrize("hashes", [1, 2, 5])
+def test_repeats_when_hashes_collide(monkeypatch, hashes):
+    """Strings of 200 bytes with few different hashes share keys; what is no repeat byte by byte stays none."""
+    real = suffix.substring_hash
+    monkeypatch.setattr(suffix, "substring_hash", lambda pre, a, b: real(pre, a, b) % np.uint64(hashes))
+    draw = random.Random(hashes)
+    text = ["".join(draw.choices("ab ", k=draw.randint(300, 1500))) for _ in range(4)]
+    text += [text[0][5:420] + "x" + text[1][:390], "y" + text[2], "ab" * 500]
+    seen = Counter(t[i : i + 400] for t in text for i in range(len(t) - 399))
+    want = {(k, i) for k, t in enumerate(text) for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1}
+    (marks,) = suffix._marks([pa.RecordBatch.from_pydict({"uid": [bytes([k]) for k in range(len(text))], "text": text})])
+    places = [[dict(start=a, n=n, key=k, often=o) for a, n, k, o in zip(*(r[c] for c in ("starts", "sizes", "keys", "often")))] for r in marks.to_pylist()]
+    (batch,) = [pa.RecordBatch.from_pydict({"uid": [bytes([k]) for k in range(len(text))], "text": text, "places": pa.array(places)})]
+    rows = [r for b in suffix._segments([batch]) for r in b.to_pylist()]
+    times, merged = Counter((r["key"], r["seg"]) for r in rows), {(r["key"], r["seg"]): r["bytes"] for r in rows}
+    order = sorted(merged)
+    shards = pa.RecordBatch.from_pydict({"key": [k for k, _ in order], "seg": [x for _, x in order], "bytes": [merged[x] for x in order]})
+    told = {r["seg"]: list(zip(r["firsts"], r["lasts"])) for b in suffix._shards([shards]) for r in b.to_pylist()}
+    got = set()
+    for r in rows:
+        for a, b in [(0, r["n"])] if times[r["key"], r["seg"]] > 1 else told.get(r["seg"], []):
+            got.update((r["uid"][0], r["start"] + i) for i in range(a, b))
+    assert got == want
+
+
 def test_near_duplicates(docs, none):
     sets = [set() for _ in ROWS]
     for s, (_, t) in zip(sets, ROWS):
