@@ -4,13 +4,16 @@ Windows of whole blocks of words are fingerprinted by 64-bit SimHash: bit counts
 so a window's counts are sums of its blocks'. Texts have a window from every block on (every STEP words); items have one from every word on, so a
 passage that holds an item has windows that start where one of the item's does. An item's windows are of the classes of LENGTHS between a fifth of it
 and as much of it as surely has a block's start. Fingerprints are looked up by multi-index Hamming blocks: cut into radius + 1 parts, two within the
-radius agree in one part at least, so the lookup, which alone proposes candidates, misses none within it. A candidate is a place where an item may stand; it is
+radius agree in one part at least, so the lookup, which alone proposes candidates, misses none within it. For many item windows keys are two or more parts of a finer cut, with the same
+guarantee. A candidate is a place where an item may stand; it is
 verified by the exact weighted share of the item's word shingles that stand there.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,12 +67,22 @@ def simhash(counts: str, length: int) -> str:
     return " | ".join(parts)
 
 
-def parts_of(fingerprint: str, length: int) -> str:
-    """SQL: radius + 1 numbers that tell the window's class, the part and its bits."""
-    n = LENGTHS[length] + 1
+def agreeing(radius: int, windows: int) -> int:
+    """How many parts of a fingerprint make a key, so that keys and the windows met by chance, of so many item windows, are fewest.
+
+    Of radius + k parts, two fingerprints within the radius agree in k at least, so every k finds the same pairs; more parts make more and wider keys.
+    """
+    return min(range(1, 5), key=lambda k: comb(radius + k, k) * (1 + windows / 2 ** (64 * k / (radius + k))))
+
+
+def parts_of(fingerprint: str, length: int, agree: int = 1) -> str:
+    """SQL of the keys of a fingerprint: for each choice of `agree` of its radius + `agree` parts, a number that tells the class, the choice and the bits."""
+    n = LENGTHS[length] + agree
     edges = [64 * i // n for i in range(n + 1)]
-    parts = [f"xxhash64({length}, {i}, shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1 if b - a < 64 else -1}L)" for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return f"array({', '.join(parts)})"
+    bits = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    masks = [sum(chosen) for chosen in combinations(bits, agree)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return f"array({', '.join(f'xxhash64({length}, {i}, {fingerprint} & {m}L)' for i, m in enumerate(signed))})"
 
 
 def with_windows(rows: DataFrame, words: str, lengths: list[int]) -> DataFrame:
@@ -92,8 +105,9 @@ def places(texts: DataFrame, items: DataFrame) -> DataFrame:
     fits = F.expr("filter(array({}), x -> x + least(x, {}) - 1 <= size(item_words) and 5 * x >= least(size(item_words), 64))".format(", ".join(map(str, LENGTHS)), STEP))
     cut = items.select("item", "item_words", F.explode(fits).alias("length")).select("item", "item_words", "length", F.explode(F.sequence(F.lit(0), size - F.col("length"))).alias("offset"))
     cut = written(cut.select("item", "length", "offset", F.expr("slice(item_words, offset + 1, length)").alias("w")), "item-windows")
-    lengths = [x for x in LENGTHS if not cut.filter(F.col("length") == x).isEmpty()]
-    parts = "case " + " ".join(f"when {{0}}.length = {x} then {parts_of('{0}.print', x)}" for x in lengths) + " end"
+    many = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most one row for each of LENGTHS
+    lengths = [x for x in LENGTHS if x in many]
+    parts = "case " + " ".join(f"when {{0}}.length = {x} then {parts_of('{0}.print', x, agreeing(LENGTHS[x], many[x]))}" for x in lengths) + " end"
     own = [with_windows(cut.filter(F.col("length") == x), "w", [x]).select("item", "offset", F.explode_outer("windows").alias("i")).filter("i is not null") for x in lengths]
     index = reduce(DataFrame.union, own).select("item", "offset", F.col("i.length").alias("length"), F.col("i.print").alias("item_print"), F.explode_outer(F.expr(parts.format("i"))).alias("part"))
     index = written(index, "item-index")
@@ -118,13 +132,15 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col="text", i
 
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     found = written(places(texts.select("h", word_list(F.col("text")).alias("words")), items), "places")
-    per_text = written(found.groupBy("h").agg(F.collect_set(F.struct("item", "start")).alias("places")), "hits")
-    held = texts.join(sized(per_text), "h").select(F.sha2("text", 256).alias("digest"), word_list(F.col("text")).alias("words"), "places")
-    held = held.select("digest", "words", F.explode("places").alias("p")).select("digest", "words", "p.item", "p.start")
-    margin = "greatest(2, size(item_words) div 8)"
-    first = f"greatest(0, start - {margin})"
-    window = F.expr(f"slice(words, {first} + 1, greatest(0, start + size(item_words) + {margin} - {first}))")
-    windows = written(held.join(sized(items), "item").select("digest", "item", "start", "n", window.alias("window")).distinct(), "windows")
+    hits = written(found.select("h").distinct(), "hits")
+    margin = F.greatest(F.lit(2), F.floor(F.col("words") / 8))
+    spans = items.select("item", "n", F.size("item_words").alias("words")).select("item", "n", "words", margin.alias("margin"))
+    spans = found.join(sized(written(spans, "spans")), "item").select("h", "item", "start", "n", F.greatest(F.lit(0), F.col("start") - F.col("margin")).alias("first"), (F.col("start") + F.col("words") + F.col("margin")).alias("end"))
+    # Words are split once a text; the window of each place is cut as the join gives it, so no row holds all places of a text.
+    held = texts.join(sized(hits), "h", "left_semi").select("h", F.sha2("text", 256).alias("digest"), word_list(F.col("text")).alias("words"))
+    window = F.expr("slice(words, cast(first as int) + 1, cast(greatest(0, end - first) as int))")
+    windows = held.join(sized(written(spans, "places-cut")), "h").select("digest", "item", "start", "n", window.alias("window"))
+    windows = written(windows.distinct(), "windows")
 
     # A shingle weighs more the fewer items have it.
     own = shingled(items, "item_words", ["item"])
@@ -147,7 +163,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col="text", **opt
     """
     found = written(contaminated_texts(docs, benchmark, text_col, **options), "contaminated")
     kept = docs.drop("contaminated", "items", "similarity", "__digest")
-    found = sized(found.select(F.col("digest").alias("__digest"), "items", "similarity"))
+    found = sized(found.select(F.col("digest").alias("__digest"), "items", "similarity"), "100 + 8 * size(items)")
     out = kept.withColumn("__digest", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).join(found, "__digest", "left").drop("__digest")
     out = out.withColumn("contaminated", F.col("items").isNotNull())
     return out.withColumn("items", F.coalesce("items", F.expr("cast(array() as array<bigint>)"))).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows (of a few numbers and digests each, about 20 MB) that are broadcast.
-BROADCAST_ROWS = 200_000
+#: Most bytes of a table that is broadcast, and those of a row of a few numbers and digests.
+BROADCAST_BYTES, ROW_BYTES = 20_000_000, "100"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(table: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if its rows are few; otherwise joins shuffle."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def sized(table: DataFrame, row_bytes: str = ROW_BYTES) -> DataFrame:
+    """A written table, to be broadcast if its rows, of `row_bytes` (SQL) each, are few bytes in all; otherwise joins shuffle."""
+    size = table.agg(F.sum(F.expr(row_bytes)).alias("size")).first()["size"]
+    return F.broadcast(table) if (size or 0) <= BROADCAST_BYTES else table

@@ -1,6 +1,7 @@
 """The ten operators on a small fixture of hard rows, against brute force or exact round trips."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -355,6 +356,31 @@ def test_packing(docs, none):
     assert packing.packed(none).count() == 0
 
 
+@pytest.mark.parametrize("agree", [1, 2, 3, 4])
+def test_keys_of_fingerprints(spark, agree):
+    """Any two fingerprints within the radius share a key, whichever number of parts makes one."""
+    draw = random.Random(agree)
+    for length, radius in decontam.LENGTHS.items():
+        rows = []
+        for _ in range(300):
+            print_ = draw.getrandbits(64)
+            near = print_ ^ sum(1 << b for b in draw.sample(range(64), radius))
+            rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (print_, near)))
+        keys = spark.createDataFrame(rows, "a long, b long").selectExpr(f"{decontam.parts_of('a', length, agree)} a", f"{decontam.parts_of('b', length, agree)} b")
+        assert keys.filter("arrays_overlap(a, b)").count() == 300
+
+
+def test_candidates_stay_linear(spark):
+    """Of 20,000 random windows of items, a random window of a text meets less than one by chance, at the widest radius."""
+    n, radius = 20_000, decontam.LENGTHS[64]
+    keys = decontam.parts_of("print", 64, decontam.agreeing(radius, n))
+    sides = [spark.range(n).selectExpr(f"xxhash64(id, {seed}) print").selectExpr(f"explode({keys}) part") for seed in (1, 2)]
+    assert sides[0].join(sides[1], "part").count() < n
+    for windows in (10**3, 10**5, 10**7, 10**9):
+        k = decontam.agreeing(radius, windows)
+        assert windows * math.comb(radius + k, k) / 2 ** (64 * k / (radius + k)) < 40
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, ITEM), (2, "never seen anywhere at all here"), (3, "two words"), (4, None), (5, "")], "item_id long, text string")
     out = decontam.decontaminated(docs, items).collect()
