@@ -11,7 +11,8 @@ def heatmap_raster(inst: DataFrame, scale: float, patch: int, size: tuple[int, i
     included) keeps the corners in it, moves them and sets the size. threshold: scores / 100 of it or more count as 1, others as 0, and means are
     rounded (half to even); a negative one stands for 1 / number of the bag's patches. Patches without a place or score are left out.
 
-    Patches of one cell corner are added up before any cell is painted, and cells before the shuffle, so dense cells stay small.
+    Patches of one cell corner are added up before any cell is painted, and cells before the shuffle, so dense cells stay small. Sums are those of the
+    scores themselves and divided once, so means of whole scores are exact in whatever order they are added.
     """
     rows = inst.select("bag_id", "x", "y", F.col("score").cast("double").alias("score")).dropna(subset=["x", "y", "score"])
     if region is not None:
@@ -20,7 +21,7 @@ def heatmap_raster(inst: DataFrame, scale: float, patch: int, size: tuple[int, i
         size = (int(right * scale) - int(left * scale), int(bottom * scale) - int(top * scale))
     value = F.col("score") / 100
     if threshold is None:
-        value = F.when(value >= 0, value).otherwise(0.0)
+        value = F.when(value >= 0, F.col("score")).otherwise(0.0)
     else:
         least = F.lit(threshold)
         if threshold < 0:
@@ -33,7 +34,7 @@ def heatmap_raster(inst: DataFrame, scale: float, patch: int, size: tuple[int, i
     cells = corners.filter(F.col("x").between(0, size[0] - 1) & F.col("y").between(0, size[1] - 1))
     for c, most in (("x", size[0]), ("y", size[1])):
         cells = cells.withColumn(f"c{c}", F.explode(F.sequence(F.col(c), F.least(F.col(c) + wide - 1, F.lit(most - 1)))))
-    mean = F.sum("s") / F.sum("k")
+    mean = F.sum("s") / (F.sum("k") * (100 if threshold is None else 1))
     return cells.groupBy("bag_id", "cx", "cy").agg((mean if threshold is None else F.rint(mean)).alias("value"))
 
 
