@@ -12,8 +12,11 @@ _parts = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _white = re.compile(f"[{WHITE}]")
 #: White space by which a part can begin.
 OPENERS = frozenset(" \n\t\r")
+#: A word of Latin letters and the ASCII marks after it, each encoded by itself where the vocabulary splits there.
+_word = re.compile(r"([ \n\t\r]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]+)")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Most parts whose ids a worker remembers (about 250 bytes each).
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 def parts(text: str) -> list[str]:
@@ -43,22 +46,36 @@ class Encoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)
+        #: Whether words are split from the marks after them, whatever these are.
+        before = self.tokenizer.pre_tokenizer
+        self.splits = self.tokenizer.normalizer is None and before is not None and all(any(at == 1 for _, (at, _) in before.pre_tokenize_str(x + m)) for x in "a\u00e9" for m in MARKS)
         self.size = size
+        #: What the latest texts use, and what those before them used: half of `size` each, about.
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         """Encodes parts. Those that begin with white space and end without it are encoded many at a time, one after another; the bytes of each token
-        tell where a part's ids end."""
+        tell where a part's ids end. Words with marks at their end take the ids of the word and of the marks."""
         import numpy as np
 
-        chained = [x for x in new if x[0] in OPENERS and not _white.match(x[-1]) and not any(c in x for c in self.contents)]
-        apart = list(set(new).difference(chained))
+        wanted, joined = set(), []
+        for x in new:
+            if self.splits and x not in self.contents and (found := _word.fullmatch(x)):
+                joined.append((x, *found.groups()))
+                wanted.update(y for y in found.groups() if y not in self.known)
+            else:
+                wanted.add(x)
+        chained, apart = [], []
+        for x in wanted:
+            literal = x in self.contents or self.whole and self.literals.search(x)
+            (chained if x[0] in OPENERS and not literal and not _white.match(x[-1]) else apart).append(x)
         for at in range(0, len(chained), 500):
             some = chained[at : at + 500]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            reached, wanted = np.cumsum(self.lengths[ids]), np.cumsum([len(x.encode()) for x in some])
-            last = np.searchsorted(reached, wanted)
-            if reached[-1] != wanted[-1] or (reached[last] != wanted).any():  # not a byte-level vocabulary
+            reached, ends = np.cumsum(self.lengths[ids]), np.cumsum([len(x.encode()) for x in some])
+            last = np.searchsorted(reached, ends)
+            if reached[-1] != ends[-1] or (reached[last] != ends).any():  # not a byte-level vocabulary
                 apart += some
                 continue
             blob, before = ids.tobytes(), 0
@@ -69,6 +86,8 @@ class Encoder:
             some = apart[at : at + 20_000]
             for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.known[part] = np.array(coded.ids, "<u4").tobytes()
+        for x, word, marks in joined:
+            self.known[x] = self.known[word] + self.known[marks]
 
     def split(self, text: str) -> list[str]:
         """Literals of added tokens, and the parts between them."""
@@ -80,15 +99,21 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        if len(self.known) > self.size:
-            self.known = {"": b""}
-        split = [self.split(t or "") for t in texts]
-        new: set[str] = set()
-        for x in split:
-            new.update(x)
-        self.learn([x for x in new if x not in self.known])
-        known = self.known.__getitem__
-        return [b"".join(map(known, x)) for x in split]
+        all_parts, ends = [], []
+        for t in texts:
+            all_parts += self.split(t or "")
+            ends.append(len(all_parts))
+        if 2 * len(self.known) > self.size:
+            self.before, self.known = self.known, {"": b""}
+        found = list(map(self.known.get, all_parts))
+        missed = [i for i, ids in enumerate(found) if ids is None]
+        new = {all_parts[i] for i in missed}
+        again = {x: self.before[x] for x in new if x in self.before}
+        self.known |= again
+        self.learn(new.difference(again))
+        for i in missed:
+            found[i] = self.known[all_parts[i]]
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
