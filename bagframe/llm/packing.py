@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 from .tokens import encoder, groups, vocabulary
 
 GRAIN = 8
@@ -162,7 +162,9 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         raise ValueError("grain must divide size")
     spark = docs.sparkSession
     capacity = size // grain
-    cut = written(pieces(docs, id_col, text_col, size, vocabulary_path, end_id), "pieces").withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
+    with small_batches(spark):
+        cut = written(pieces(docs, id_col, text_col, size, vocabulary_path, end_id), "pieces")
+    cut = cut.withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
     counts = {r["class"]: r["n"] for r in cut.groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     total = sum(counts.values())
     sizes = np.array(sorted(counts), np.int64)
