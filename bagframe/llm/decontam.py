@@ -27,7 +27,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def word_list(text):
-    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATORS), "")
 
 
 def shingle_list(words: str, n: int):
@@ -54,6 +54,13 @@ def block_counts(hashes: str, step: int) -> str:
     return _each(f"size({hashes}) div {step}", body, "array<array<bigint>>")
 
 
+def doubled_counts(counts: str) -> str:
+    """SQL: the counts of blocks twice as long: of each first and second block together."""
+    first, second = (f"filter(slice({counts}, 1, size({counts}) div 2 * 2), (x, i) -> i % 2 = {odd})" for odd in (0, 1))
+    body = "array(" + ", ".join(f"x[{k}] + y[{k}]" for k in range(8)) + ")"
+    return f"zip_with({first}, {second}, (x, y) -> {body})"
+
+
 def joined_counts(counts: str, apart: int) -> str:
     """SQL: the counts of windows twice as long: each window's with those of the one `apart` blocks on."""
     body = "array(" + ", ".join(f"x[{k}] + y[{k}]" for k in range(8)) + ")"
@@ -63,8 +70,9 @@ def joined_counts(counts: str, apart: int) -> str:
 def simhash(counts: str, length: int) -> str:
     """SQL of the fingerprint of a window: the bits that more than half of its words have."""
     add = (63 - length // 2) * 0x0101010101010101  # the sums stay below 128
-    parts = [f"shiftleft(shiftrightunsigned({counts}[{k}] + {add}L, 6) & 72340172838076673L, {k})" for k in range(8)]
-    return " | ".join(parts)
+    # Bit 6 of each byte, moved to bit k.
+    parts = [f"shiftrightunsigned({counts}[{k}] + {add}L, {6 - k}) & {0x0101010101010101 << k}L" for k in range(7)]
+    return " | ".join(f"({p})" for p in [*parts, f"shiftleft({counts}[7] + {add}L, 1) & {(0x0101010101010101 << 7) - (1 << 64)}L"])
 
 
 def agreeing(radius: int, windows: int) -> int:
@@ -90,7 +98,7 @@ def with_windows(rows: DataFrame, words: str, lengths: list[int]) -> DataFrame:
     out = rows.withColumn("__h", F.expr(f"transform({words}, w -> xxhash64(w))"))
     steps = sorted({min(x, STEP) for x in lengths})
     for s in steps:
-        out = out.withColumn(f"__{s}", F.expr(block_counts("__h", s)))
+        out = out.withColumn(f"__{s}", F.expr(doubled_counts(f"__{s // 2}") if s // 2 in steps else block_counts("__h", s)))
     longest, at = max(lengths), STEP
     while at < longest:
         out = out.withColumn(f"__{2 * at}", F.expr(joined_counts(f"__{at}", at // STEP)))
@@ -115,7 +123,9 @@ def places(texts: DataFrame, items: DataFrame) -> DataFrame:
     seen = with_windows(texts, "words", lengths).select("h", F.explode_outer("windows").alias("x")).filter("x is not null")
     seen = seen.select("h", "x.at", "x.length", "x.print", F.explode_outer(F.expr(parts.format("x"))).alias("part"))
     radius = F.expr("case " + " ".join(f"when length = {x} then {LENGTHS[x]}" for x in lengths) + " end")
-    near = seen.join(sized(index), ["part", "length"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    # Parts tell the class, too; one number is looked up faster than two.
+    same = F.col("length") == F.col("item_length")
+    near = seen.join(sized(index.withColumnRenamed("length", "item_length")), "part").filter(same & (F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius))
     return near.select("h", "item", (F.col("at") - F.col("offset")).alias("start")).distinct()
 
 
