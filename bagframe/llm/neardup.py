@@ -29,13 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scan import SPACE, blocks, shingle_sets
-from .store import sized, written
+from .store import sized, small_batches, written
+from .tokens import forget
 
 K = 64
 MISS = 1e-6
 #: Members of a centre that one task compares, about, and rows of an Arrow batch that become Python objects at once.
 MEMBERS = 500
 SLICE, SLICE_BYTES = 500, 4 << 20
+#: Bytes of texts whose shingles are made at once: each becomes some 30 of numbers on the way.
+SHINGLED = 1 << 18
 #: Lists with up to so many open members are settled at once: these meet all members, so a list makes rows by its length.
 SHORT = 12
 #: The same for the lists of later rounds, of which most pairs are ruled out by what their members have and ask for.
@@ -68,9 +71,10 @@ def with_sketches(docs: DataFrame, key: str, text: str, k: int, n: int) -> DataF
     """id, text_hash, n_shingles, cls (a digest of the set; null: empty), sketch (signed, in the order of unsigned values)."""
 
     def sketch(batches):
+        forget()
         for batch in batches:
             sizes, classes, kept = [], [], []
-            for _, data, offs in blocks(batch.column(1)):
+            for _, data, offs in blocks(batch.column(1), SHINGLED):
                 for values in shingle_sets(data, offs, SPACE, n):
                     sizes.append(len(values))
                     classes.append(_digest(values) if len(values) else None)
@@ -86,7 +90,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int)
 
     def shingle(batches):
         for batch in batches:
-            sets = [x.tobytes() for _, data, offs in blocks(batch.column(1)) for x in shingle_sets(data, offs, SPACE, n)]
+            sets = [x.tobytes() for _, data, offs in blocks(batch.column(1), SHINGLED) for x in shingle_sets(data, offs, SPACE, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cls", "members"])
 
     held = _rows(docs, key, text).join(sized(wanted), "text_hash").filter(F.col("id").eqNullSafe(F.col("held_id")))
@@ -230,6 +234,11 @@ def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 80, den: int = 100, k: int = K, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows (id, text_hash, n_shingles, cls) of docs, and (cls, comp, first_id) of the classes of equal sets that have shingles."""
+    with small_batches(docs.sparkSession):
+        return _grouped(docs, key, text, num, den, k, n)
+
+
+def _grouped(docs: DataFrame, key: str, text: str, num: int, den: int, k: int, n: int) -> tuple[DataFrame, DataFrame]:
     t = num / den
     rows = written(with_sketches(docs, key, text, k, n), "sketches")
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.min(F.struct("text_hash", "id")).alias("r"))

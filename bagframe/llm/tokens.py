@@ -175,6 +175,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Lets go of the encoders of this worker process: tasks of other operators call it, as workers outlive their stages."""
+    encoder.cache_clear()
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The place of a public vocabulary file on this machine; each executor asks for its own."""
     import public_tokenizers

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .scan import NOT_ALNUM, STEPS, blocks, mix, words
+from .tokens import forget
 
 BITS = 20
 #: Bytes of a word's stem, and the last count bucket (1, 2, 3 or more).
 STEM, MOST_TIMES = 5, 3
+#: Bytes of texts whose features are made at once.
+FEATURED = 1 << 18
 #: Most labelled rows that are learned from; more bring no further words of note.
 MOST_LABELLED = 8_000
 #: BITS, STEM and L1 were chosen by fourfold cross-validation within the labels that are learned from (sf0.1), not by the held-out quarter.
@@ -56,7 +59,7 @@ def text_features(column, wanted=None, first=None):
     wanted: 2**BITS booleans; other numbers may be left out. first: stems_wanted() of them.
     """
     mask = np.uint64((1 << BITS) - 1)
-    for _, data, offs in blocks(column):
+    for _, data, offs in blocks(column, FEATURED):
         h, doc, _, _ = words(data, offs, NOT_ALNUM)
         keys = [_numbered(h, doc, wanted)]
         h, doc, _, _ = words(data, offs, NOT_ALNUM, stem=STEM)
@@ -123,6 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def extract(batches):
+        forget()
         for batch in batches:
             found = [squeezed(x) for x in text_features(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "y", "x"])
@@ -145,6 +149,7 @@ def scored(docs: DataFrame, model, id_col="doc_id", text_col="text", threshold:
     place = names.index(text_col)
 
     def score(batches):
+        forget()
         found, weights, bias = shared.value
         dense = np.zeros(1 << BITS)
         dense[found] = weights
