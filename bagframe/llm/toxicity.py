@@ -109,9 +109,10 @@ def ftrl(rows: list, labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, e
             s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
             z[i] += g - s * w
             n[i] += g * g
-    w = weights(np.arange((1 << BITS) + 1))
+    seen = np.append(np.flatnonzero(n[:-1]), bias)  # the others have no weight
+    w = weights(seen)
     found = np.flatnonzero(w[:-1])
-    return found, w[found], float(w[-1])
+    return seen[found], w[found], float(w[-1])
 
 
 #: The model of no labelled row: every score is 0.1.

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -50,6 +51,16 @@ def test_toxicity(spark, docs, none):
     assert {(r["score"] < 0.3, r["predicted"]) for r in toxicity.scored(docs, empty).collect()} == {(True, 0)}
 
 
+def test_toxicity_learner_memory():
+    """The driver holds the learner's two arrays, and else what the rows have, not several arrays of all 2**20 numbers."""
+    rows = [np.array([1, 2 + i % 50], np.uint32) for i in range(200)]
+    tracemalloc.start()
+    toxicity.ftrl(rows, np.arange(200) % 2.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * 8 * 2**toxicity.BITS
+
+
 def test_toxicity_inflected(spark):
     """A stem whose endings are new each time is learned; clean texts with other stems of the same shape stay clean."""
     draw = random.Random(5)
@@ -134,6 +145,13 @@ def luhn(digits: str) -> int:
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10
 
 
+def test_pseudonyms_parse_little(spark, docs, monkeypatch):
+    """The parser keeps in the driver what it learns from long expressions (30 MB of one of 11,576 characters), so it gets none."""
+    parsed, expr = [""], pii.F.expr
+    monkeypatch.setattr(pii.F, "expr", lambda text: parsed.append(text) or expr(text))
+    assert "n_private" in pii.pseudonymised(docs).columns and max(map(len, parsed)) < 500
+
+
 def test_pii(spark, docs, none):
     out = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
     text = out[12]["text"]
