@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagframe.llm import decontam, neardup, packing, pii, toxicity
-from bagframe.llm.store import written
+from bagframe.llm.store import small_batches, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below 0.3; null texts are scored as empty."""
+    """Documents whose score stays below 0.3; null texts are scored as empty. The result is written here, as the size of batches counts when a job runs."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out())
-    model = toxicity.fit(docs, labels)
-    return toxicity.scored(docs, model).filter("predicted = 0").select(COLUMNS)
+    with small_batches(spark):
+        model = toxicity.fit(docs, labels)
+        return written(toxicity.scored(docs, model).filter("predicted = 0").select(COLUMNS), "clean")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

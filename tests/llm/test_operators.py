@@ -61,6 +61,20 @@ def test_toxicity_learner_memory():
     assert peak < 2.5 * 8 * 2**toxicity.BITS
 
 
+def test_toxicity_stage_batches(spark, docs, tmp_path, monkeypatch):
+    """The pipeline's stage learns and scores with small batches; the setting is as before afterwards."""
+    import corpus_pipeline
+
+    fit, written, before, seen = toxicity.fit, store.written, spark.conf.get(store.BATCH), []
+    note = lambda f: lambda *a: seen.append(spark.conf.get(store.BATCH)) or f(*a)
+    monkeypatch.setattr(toxicity, "fit", note(fit))
+    monkeypatch.setattr(corpus_pipeline, "written", note(written))
+    frame = docs.selectExpr("doc_id", "text", "'en' as lang", "'x' as source", "length(text) as n_chars")
+    spark.createDataFrame([(10**9, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, frame, str(tmp_path)).count() == len(ROWS)
+    assert seen == [str(store.BATCH_BYTES)] * 2 and spark.conf.get(store.BATCH) == before
+
+
 def test_toxicity_inflected(spark):
     """A stem whose endings are new each time is learned; clean texts with other stems of the same shape stay clean."""
     draw = random.Random(5)
