@@ -28,25 +28,26 @@ def recalibrate(inst: DataFrame, k: int, dim: int, mode: str = "max") -> DataFra
     return inst.join(level, "bag_id").withColumn("feat", F.zip_with("feat", "__level", cut)).drop("__level")
 
 
-def distill(inst: DataFrame, g: int, k: int) -> DataFrame:
-    """(bag_id, chunk, idx, kind): the k highest ('max') and k lowest ('min') scored of each of g pseudo-bags; both kinds may hold the same instance."""
+def distill(inst: DataFrame, g: int, k: int, n: int | None = None) -> DataFrame:
+    """(bag_id, chunk, idx, kind): the k highest ('max') and k lowest ('min') scored of each of g pseudo-bags (n: as there); both kinds may hold the same
+    instance."""
     w = Window.partitionBy("bag_id", "chunk")
-    ranked = pseudo_bags(inst, g).withColumn("hi", F.row_number().over(w.orderBy(F.desc("score"), "idx"))).withColumn("lo", F.row_number().over(w.orderBy("score", "idx")))
+    ranked = pseudo_bags(inst, g, n).withColumn("hi", F.row_number().over(w.orderBy(F.desc("score"), "idx"))).withColumn("lo", F.row_number().over(w.orderBy("score", "idx")))
     kinds = F.filter(F.array(F.when(F.col("hi") <= k, "max"), F.when(F.col("lo") <= k, "min")), lambda x: x.isNotNull())
     return ranked.select("bag_id", "chunk", "idx", F.explode(kinds).alias("kind"))
 
 
-def distilled_bags(inst: DataFrame, g: int, k: int, dim: int, mode: str = "MaxMinS") -> DataFrame:
-    """(bag_id, feat): the second tier over g pseudo-bags: the mean of what each gives: its k highest and k lowest scored instances (MaxMinS), its k
-    highest (MaxS), or its softmax-pooled feature (AFS)."""
+def distilled_bags(inst: DataFrame, g: int, k: int, dim: int, mode: str = "MaxMinS", n: int | None = None) -> DataFrame:
+    """(bag_id, feat): the second tier over g pseudo-bags (n: as there): the mean of what each gives: its k highest and k lowest scored instances
+    (MaxMinS), its k highest (MaxS), or its softmax-pooled feature (AFS)."""
     if mode == "AFS":
-        parts = pseudo_bags(inst, g)
+        parts = pseudo_bags(inst, g, n)
         w = Window.partitionBy("bag_id", "chunk")
         e = parts.withColumn("e", F.exp(F.col("score") - F.max("score").over(w)))
         given = e.groupBy("bag_id", "chunk").agg(elementwise(lambda x: F.sum(x * F.col("e")) / F.sum("e"), "feat", dim).alias("feat"))
     else:
         kinds = ["max", "min"] if mode == "MaxMinS" else ["max"]
-        given = distill(inst, g, k).filter(F.col("kind").isin(kinds)).join(inst.select("bag_id", "idx", "feat"), ["bag_id", "idx"])
+        given = distill(inst, g, k, n).filter(F.col("kind").isin(kinds)).join(inst.select("bag_id", "idx", "feat"), ["bag_id", "idx"])
     return mean_pool(given, dim)
 
 

@@ -41,9 +41,10 @@ def top1_instance(inst: DataFrame, score: str = "score") -> DataFrame:
     return inst.groupBy("bag_id").agg(F.max_by("idx", F.struct(F.col(score), -F.col("idx"))).alias("idx"), F.max(score).alias(score))
 
 
-def pseudo_bags(inst: DataFrame, g: int) -> DataFrame:
-    """Contiguous chunks of ceil(n / g) instances."""
-    return inst.withColumn("chunk", F.floor(F.col("idx") / F.ceil(F.count("*").over(_bag()) / g)))
+def pseudo_bags(inst: DataFrame, g: int, n: int | None = None) -> DataFrame:
+    """Contiguous chunks of ceil(n / g) instances; n is each bag's own number, or that of a whole bag, whose chunks shorter bags keep."""
+    size = F.ceil(F.count("*").over(_bag()) / g) if n is None else F.lit(-(-n // g))
+    return inst.withColumn("chunk", F.floor(F.col("idx") / size))
 
 
 def two_level_pool(inst: DataFrame, size: int = 512) -> DataFrame:

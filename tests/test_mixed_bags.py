@@ -2,12 +2,14 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from bagframe.functions.rand import hash_uniform
 from bagframe.operators import bags, clusters, manifests, metrics, mixing, pooling, select, splits
+from bagframe.plans import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -177,3 +179,15 @@ def test_pools_of_one(inst):
     assert vectors.first()["feat"] == pytest.approx(value) and importance.first()["importance"] == 1.0
     assert pooling.max_instance_pool(one.withColumn("logits", F.col("feat")), 2, 2).first()["feat"] == pytest.approx(value)
     assert bags.pad_square_zeros(inst.filter("bag_id = 4"), 2).count() == 4 and bags.pad_square_zeros(one, 2).count() == 1
+
+
+def test_distilled_last_bag(spark, tmp_path):
+    """A last bag of sixteen, of two and of one vector keeps the chunks of a bag of twenty, as the SQL says."""
+    for n in (36, 22, 1):
+        rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter(F.col("vec_id") < n).collect()]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / f"{n}/embeddings.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/{n}/embeddings.parquet/*.parquet')")
+        want = {r[:3]: r[3] for r in con.execute(f"SELECT mode, bag_id, pos, value FROM ({ORACLE_SQL['distilled_bags']})").fetchall()}
+        got = {(r["mode"], r["bag_id"], r["pos"]): r["value"] for r in QUERIES["distilled_bags"](spark, str(tmp_path / str(n))).collect()}
+        assert got == pytest.approx(want, abs=2e-6)
