@@ -114,3 +114,34 @@ def test_principal_components(spark, data):
 @pytest.mark.parametrize("name", ["fit_bag_classifier", "report_without_labels", "cv_bag_classifier", "bag_feature_map", "list_slides"])
 def test_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_fits_on_few_partitions(spark, data, monkeypatch):
+    """However many partitions shuffles make, a pass over few bags is few tasks; with more than fit into one, the results are the same."""
+    inst, bags = data
+    seen, fit, before = [], models.CrossValidator.fit, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(models.CrossValidator, "fit", lambda self, d: seen.append(d.rdd.getNumPartitions()) or fit(self, d))
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        one = {(r["fold"], r["metric"]): r["value"] for r in models.cv_bag_classifier(inst, bags, 5, 2, regs=(0.01,))[0].collect()}
+        monkeypatch.setattr(models, "NUMBERS", 64)
+        more = {(r["fold"], r["metric"]): r["value"] for r in models.cv_bag_classifier(inst, bags, 5, 2, regs=(0.01,))[0].collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [1, 3] and len(one) == 75 and more == pytest.approx(one)
+
+
+def test_evaluated_by_groups(spark):
+    """All groups at once as each by itself: three classes, of which one group lacks one; two classes."""
+    draw = np.random.default_rng(4)
+    for classes in (3, 2):
+        p = draw.dirichlet(np.ones(classes), size=60).round(2)
+        y = [int(draw.integers(classes if i % 3 else classes - 1)) for i in range(60)]
+        rows = [(i % 3, y[i], int(p[i].argmax()), [float(x) for x in p[i]]) for i in range(60)]
+        preds = spark.createDataFrame(rows, "fold int, y int, yhat int, probs array<double>")
+        got = {r["fold"]: r.asDict() for r in metrics.evaluate_all(preds, classes, "fold").collect()}
+        for fold in range(3):
+            want = metrics.evaluate_all(preds.filter(F.col("fold") == fold).drop("fold"), classes).first().asDict()
+            assert {k: v for k, v in got[fold].items() if k not in ("fold", "confusion")} == pytest.approx({k: v for k, v in want.items() if k != "confusion"})
+            assert got[fold]["confusion"] == want["confusion"]
+        assert (got[0]["auc_macro"] is None) and got[1]["auc_macro"] is not None
