@@ -110,12 +110,37 @@ def spatial_bias(inst: DataFrame, radius: int) -> DataFrame:
     return near.select("bag_id", "src", "dst", (-F.floor(F.sqrt("d2"))).cast("long").alias("bias"))
 
 
-def spatial_bias_local(inst: DataFrame, radius: int) -> DataFrame:
-    """spatial_bias without the farthest value of a bag: pairs beyond the radius, if it has such (they have no rows), or else those of the lowest bias."""
-    near = spatial_bias(inst, radius)
-    sizes = inst.groupBy("bag_id").agg(F.count("*").alias("n"))
-    ends = near.groupBy("bag_id").agg(F.count("*").alias("pairs"), F.min("bias").alias("low")).join(sizes, "bag_id")
-    return near.join(ends, "bag_id").filter((F.col("pairs") < F.col("n") * F.col("n")) | (F.col("bias") > F.col("low"))).select("bag_id", "src", "dst", "bias")
+#: Instances of a bag whose pairs are looked at within a row of each, by the task that has the bag; larger bags meet by cells.
+WHOLE = 256
+
+
+def spatial_bias_local(inst: DataFrame, radius: int, whole: int = WHOLE) -> DataFrame:
+    """spatial_bias without the farthest value of a bag: pairs beyond the radius, if it has such (they have no rows), or else those of the lowest bias.
+
+    Bags of up to `whole` instances are dealt once, by bag_id: every instance gets the bag's places, and its own pairs stay in its row until the bag's
+    lowest bias is known. Nothing is copied to neighbouring cells, and no pair is shuffled. Larger bags, which are counted first, go the way of
+    spatial_bias.
+    """
+    bag = Window.partitionBy("bag_id")
+    counted = inst.select("bag_id", "idx", "x", "y").filter("bag_id is not null").withColumn("n", F.count("*").over(bag))
+    small, large = counted.filter(F.col("n") <= whole), counted.filter(F.col("n") > whole)
+    sizes = inst.groupBy("bag_id").agg(F.count("*").alias("n")).filter(F.col("n") > whole)
+
+    d2 = lambda p: F.pow(F.col("x") - p["x"], F.lit(2)) + F.pow(F.col("y") - p["y"], F.lit(2))
+    met = F.transform(F.collect_list(F.struct("idx", "x", "y")).over(bag), lambda p: F.struct(p["idx"].alias("dst"), d2(p).alias("d2")))
+    near = F.transform(F.filter("met", lambda p: p["d2"] <= radius * radius), lambda p: F.struct(p["dst"].alias("dst"), (-F.floor(F.sqrt(p["d2"]))).cast("long").alias("bias")))
+    own = small.withColumn("met", met).select("bag_id", F.col("idx").alias("src"), "n", near.alias("near"))
+    lowest = F.min(F.array_min(F.transform("near", lambda p: p["bias"]))).over(bag)
+    ended = own.withColumn("pairs", F.sum(F.size("near")).over(bag)).withColumn("low", lowest)
+    left = F.filter("near", lambda p: (F.col("pairs") < F.col("n") * F.col("n")) | (p["bias"] > F.col("low")))
+    kept = ended.select("bag_id", "src", F.explode(left).alias("p")).select("bag_id", "src", "p.dst", "p.bias")
+    if sizes.count() == 0:
+        return kept
+
+    far = spatial_bias(large, radius)
+    ends = far.groupBy("bag_id").agg(F.count("*").alias("pairs"), F.min("bias").alias("low")).join(sizes, "bag_id")
+    rest = far.join(ends, "bag_id").filter((F.col("pairs") < F.col("n") * F.col("n")) | (F.col("bias") > F.col("low")))
+    return kept.unionByName(rest.select("bag_id", "src", "dst", "bias"))
 
 
 #: Most centres that all go to every task; more meet the instances in blocks.

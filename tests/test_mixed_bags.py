@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bagframe.functions.rand import hash_uniform
 from bagframe.operators import bags, clusters, manifests, metrics, mixing, pooling, select, splits
 from bagframe.plans import ORACLE_SQL, QUERIES
+from bagframe.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -191,3 +192,39 @@ def test_distilled_last_bag(spark, tmp_path):
         want = {r[:3]: r[3] for r in con.execute(f"SELECT mode, bag_id, pos, value FROM ({ORACLE_SQL['distilled_bags']})").fetchall()}
         got = {(r["mode"], r["bag_id"], r["pos"]): r["value"] for r in QUERIES["distilled_bags"](spark, str(tmp_path / str(n))).collect()}
         assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_local_bias_of_bags_of_any_size(spark):
+    """Small bags, large ones and both at once give the pairs of plain arithmetic: wide bags, narrow ones (the lowest bias goes), one of equal places."""
+    draw = np.random.default_rng(6)
+    rows = [(b, i, int(x), int(y)) for b, n, span in ((1, 1, 9), (2, 12, 60), (3, 12, 6), (4, 30, 50), (5, 30, 5), (6, 9, 1)) for i, (x, y) in enumerate(draw.integers(-span, span, size=(n, 2)))]
+    want = set()
+    for b in range(1, 7):
+        own = [(i, x, y) for a, i, x, y in rows if a == b]
+        found = [(b, i, j, -math.isqrt((x - u) ** 2 + (y - v) ** 2) if (x - u) ** 2 + (y - v) ** 2 <= 400 else None) for i, x, y in own for j, u, v in own]
+        low = min((f[3] for f in found), default=0) if all(f[3] is not None for f in found) else -math.inf
+        want |= {f for f in found if f[3] is not None and f[3] > low}
+    rows += [(None, 0, 1, 1), (None, 1, 1, 1), (7, 0, 1, 1), (7, 1, None, 1)]  # no bag; a place that is unknown is far from all
+    want.add((7, 0, 0, 0))
+    inst = spark.createDataFrame(rows, "bag_id long, idx long, x long, y long")
+    for whole in (256, 12, 1):
+        got = [tuple(r) for r in bags.spatial_bias_local(inst, 20, whole).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_small_bags_are_dealt_once(spark):
+    """Neither pairs nor copies for neighbouring cells are shuffled."""
+    status, threshold = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def shuffled(df):
+        before = status.statusStore().executorList(True).head().totalShuffleWrite()
+        df().write.format("noop").mode("overwrite").save()
+        status.listenerBus().waitUntilEmpty()
+        return status.statusStore().executorList(True).head().totalShuffleWrite() - before
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        own = shuffled(lambda: tables.scores(spark, "/root/testdata/sf0.01"))
+        assert 0 < shuffled(lambda: QUERIES["spatial_bias_local"](spark, "/root/testdata/sf0.01")) < 1.5 * own
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
